@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import copies, encoding, lookalikes
+from folioscope.llm import copies, encoding, headings, languages, leaks, lookalikes
 from folioscope.sources.tables import table
 
 
@@ -54,11 +54,56 @@ def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.decode(p7_ids(spark, folder), "doc_id", "ids").withColumnRenamed("id", "doc_id")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The heading each outline entry means, or -1."""
+    entries, listed = table(spark, folder, "outline_entries", "entry_id", "title"), table(spark, folder, "heading_list")
+    return headings.map_values(entries, "entry_id", "title", listed, "heading_id", "heading", "aliases").select(F.col("id").alias("entry_id"), F.col("name_id").alias("heading_id")).distinct()
+
+
+def p6_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles that mean no heading, with the number of their entries."""
+    entries, listed = table(spark, folder, "outline_entries", "entry_id", "title"), table(spark, folder, "heading_list")
+    mapped = headings.map_values(entries, "entry_id", "title", listed, "heading_id", "heading", "aliases")
+    return mapped.where("name_id = -1").groupBy(F.col("value").alias("title")).agg(F.count("*").alias("n_entries"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the evaluation items that leaked into them."""
+    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"), "doc_id", "text", "item_id", "text")
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evaluation item with the number of documents it leaked into."""
+    found = p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    items = table(spark, folder, "eval_items", "item_id", "suite")
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document and of each line of a mixed one, with a confidence."""
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    model = languages.fit(docs, "doc_id", "text", "lang")
+    return languages.identify(docs, model, "doc_id", "text", "lang").select("doc_id", "part_no", "lang", F.round("confidence", 4).alias("confidence"), "label")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a missing or wrong label, and the lines of mixed documents."""
+    judged = p9_languages(spark, folder)
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    return judged.where((F.col("part_no") > 0) | wrong).select("doc_id", "part_no", "lang")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_records": p5_records,
+    "p6_found": p6_found,
+    "p6_unmatched": p6_unmatched,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
 }
