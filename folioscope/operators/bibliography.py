@@ -54,11 +54,11 @@ def expand_marker(marker: Column) -> Column:
     """
     plain = F.translate(F.translate(marker, _SUPERSCRIPTS[0], _SUPERSCRIPTS[1]), "[] \t", "")
     items = F.split(plain, "[,;]")
-    ends = F.transform(items, lambda i: F.struct(F.regexp_extract(i, r"^(\d{1,9})(?:[–-](\d{1,9}))?$", 1).try_cast("int").alias("a"), F.regexp_extract(i, r"^(\d{1,9})(?:[–-](\d{1,9}))?$", 2).try_cast("int").alias("b")))
-    good = F.forall(ends, lambda e: e["a"].isNotNull() & (e["a"] >= 1) & (e["b"].isNull() | ((e["b"] >= e["a"]) & (e["b"] - e["a"] <= 1000))))
-    numbers = F.flatten(F.transform(ends, lambda e: F.sequence(e["a"], F.coalesce(e["b"], e["a"]))))
-    checked = F.when(good, numbers)
-    return F.when(F.size(checked) == F.size(F.array_distinct(checked)), checked)
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  names a value, so that it is computed once
+    bounds = lambda i: once(F.split(i, "[–-]"), lambda p: F.struct(F.when(F.size(p) <= 2, F.get(p, F.lit(0)).try_cast("int")).alias("a"), F.get(p, F.size(p) - 1).try_cast("int").alias("b")))
+    good = lambda ends: F.forall(ends, lambda e: F.coalesce((e["a"] >= 1) & (e["b"] >= e["a"]) & (e["b"] - e["a"] <= 1000), F.lit(False)))
+    numbers = once(F.transform(items, bounds), lambda ends: F.when(good(ends), F.flatten(F.transform(ends, lambda e: F.sequence(e["a"], e["b"])))))
+    return once(numbers, lambda v: F.when(F.size(v) == F.size(F.array_distinct(v)), v))
 
 
 def linkage(markers: DataFrame, references: DataFrame, doc: str, marker_id: str, marker: str, number: str) -> DataFrame:

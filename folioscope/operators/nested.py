@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.session import spread
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -244,7 +246,8 @@ def walk(graph: Graph, own: set[str], edge: Edge, value: object, with_attrs: boo
 def shred_json(df: DataFrame, id_col: str, json_col: str, graph: Graph, edge: Edge, elements: tuple[str, ...] = (), with_attrs: bool = True) -> DataFrame:
     """Rows of all tables below `edge`, from a JSON text column; columns as in NODE.
 
-    A narrow, streaming pass: records are never shuffled and their depth is not limited.  Null,
+    A narrow, streaming pass: records aren't shuffled (but to use all cores, if the input has fewer
+    partitions) and their depth is not limited.  Null,
     blank or damaged JSON gives no rows; text that was JSON-encoded several times is decoded as
     often.  A single object or string in place of a list is a list of one; null entries keep their
     position but give no row; other values in place of a list give none.  Of repeated keys of an
@@ -267,7 +270,7 @@ def shred_json(df: DataFrame, id_col: str, json_col: str, graph: Graph, edge: Ed
                     out = [[] for _ in _ARROW]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
 
-    return df.select(F.col(id_col).cast("long").alias("record_id"), F.col(json_col).alias("body")).mapInArrow(run, NODE)
+    return spread(df.select(F.col(id_col).cast("long").alias("record_id"), F.col(json_col).alias("body"))).mapInArrow(run, NODE)
 
 
 def _node(record: Column, relation: str, parent_relation: str, parent: Column, path: Column, ordinal: Column, attrs: dict[str, Column]) -> list[Column]:

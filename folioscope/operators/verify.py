@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
+from folioscope.session import spread
 
 
 def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,7 +38,9 @@ def scientific_diff(df: DataFrame, before: Column, after: Column, *keys: str) ->
     """Per row and token category the changed tokens, and whether any changed; null texts are empty."""
     a, b = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     # Tokens are columns of their own first, so that no pattern is matched twice.
-    found = df.select(*keys, *[T.tokens(c, p).alias(f"{side}_{n}") for n, p in T.SCIENTIFIC.items() for side, c in (("a", a), ("b", b))])
+    found = spread(df.select(*keys, a.alias("_a"), b.alias("_b")))
+    a, b = F.col("_a"), F.col("_b")
+    found = found.select(*keys, *[T.tokens(c, p).alias(f"{side}_{n}") for n, p in T.SCIENTIFIC.items() for side, c in (("a", a), ("b", b))])
     same = F.lit(True)
     for n in T.SCIENTIFIC:
         same = same & (F.array_sort(F.array_distinct(f"a_{n}")) == F.array_sort(F.array_distinct(f"b_{n}")))

@@ -11,6 +11,7 @@ from folioscope.operators import guidelines as G
 from folioscope.operators import layers, packaging, rules, structure, verify
 from folioscope.operators.orphans import clean_key
 from folioscope.plans.data import manuscript_nodes
+from folioscope.session import spread
 from folioscope.sources.tables import table
 
 #: Scopes that rules can be evaluated in.
@@ -302,7 +303,7 @@ def numbered_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_expand(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "citations", "citation_id", "raw_text").distinct()
+    c = spread(table(spark, folder, "citations", "citation_id", "raw_text").distinct())
     v = B.expand_marker(F.col("raw_text"))
     return c.select("citation_id", F.array_sort(v).alias("numbers"))
 

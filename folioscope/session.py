@@ -49,3 +49,13 @@ def partitions(spark: SparkSession) -> int:
 def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     """Enough partitions for rows, and no fewer than the session asks for."""
     return max(partitions(spark), math.ceil(rows / rows_per_part))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it has fewer partitions than there are; else as it is.
+
+    For narrow stages that cost much more per row than moving the row: one small file must not
+    keep a cluster waiting for one task.  Inputs of any size beyond that are never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
