@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.session import partitions
+from folioscope.session import partitions, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-tokenisation pattern of this vocabulary (fixed value).
@@ -112,7 +112,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, ch
     """
     if not 4 * LOOK < overlap < chunk // 2:
         raise ValueError("the overlap must be longer than what a boundary depends on, and under half a chunk")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     long_text = F.coalesce(F.length("text") > chunk, F.lit(False))
     kind = rows.schema["id"].dataType.simpleString()
     short = rows.where(~long_text).mapInArrow(_encode(path), f"id {kind}, ids array<int>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import cut
+from folioscope.session import cut, spread
 
 # Letters of other scripts drawn like Latin ones, each above its partner.
 CYRILLIC = (
@@ -230,7 +230,7 @@ def canonical(df: DataFrame, text_col: str, out_col: str, table: dict[str, str])
             yield s.map(ready[0], na_action="ignore")
 
     rewrite.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out_col, F.pandas_udf(rewrite, "string")(F.col(text_col)))
+    return spread(df).withColumn(out_col, F.pandas_udf(rewrite, "string")(F.col(text_col)))
 
 
 def look_alike_pairs(df: DataFrame, kind: str, key: str, text: str, form: str) -> DataFrame:
