@@ -26,7 +26,7 @@ def parse(raw: Column) -> Column:
     fits = body.rlike(_LAYOUT)
     confidence = F.when(fits & (F.coalesce(number, F.lit(0)) > 0) & pmid.isNull() & arxiv.isNull(), "HIGH").when(fits, "MEDIUM").otherwise("LOW")
     return F.when(raw.isNotNull(), F.struct(
-        number.alias("number"), F.transform(F.regexp_extract_all(part(1), F.lit(_AUTHOR), F.lit(0)), F.trim).alias("authors"), part(2).alias("title"), part(3).alias("source_title"), part(4).alias("volume"),
+        number.alias("number"), F.transform(F.regexp_extract_all(part(1), F.lit(_AUTHOR), F.lit(0)), lambda a: F.trim(a)).alias("authors"), part(2).alias("title"), part(3).alias("source_title"), part(4).alias("volume"),
         part(5).alias("issue"), part(6).alias("pages"), part(7).alias("year"), F.nullif(F.regexp_extract(body, _DOI, 1), F.lit("")).alias("doi"), pmid.alias("pmid"), arxiv.alias("arxiv"), confidence.alias("parse_confidence"),
     ))
 
