@@ -11,11 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.session import spread
+
 #: Names and aliases a list may have: what each task holds and tries.
 MAX_NAMES = 20_000
 #: Similarity that a name must reach, and at which a word counts as a misspelling.
@@ -38,7 +41,7 @@ def tokens(value: str) -> list[tuple[str, bool]]:
 
 def distance(a: str, b: str, most: int) -> int:
     """Edits (insert, delete, replace, swap of neighbours) from a to b; most + 1 if it takes more."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or len(set(a) - set(b)) > most or len(set(b) - set(a)) > most:
         return most + 1
     before2: list[int] = []
     before = list(range(len(b) + 1))
@@ -63,6 +66,7 @@ def likeness(a: str, b: str, least: float) -> float:
     return score if score >= least else 0.0
 
 
+@lru_cache(maxsize=500_000)
 def word_score(word: str, dot: bool, name: str) -> float:
     """How well a typed word stands for a word of a name."""
     if word == name or word.rstrip("s") == name.rstrip("s"):
@@ -170,4 +174,4 @@ def map_values(df: DataFrame, id_col: str, value_col: str, names: DataFrame, nam
             found = pa.array([matcher(v) for v in values], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=["id", "value", "name_id"]).filter(found.is_valid())
 
-    return df.select(F.col(id_col).cast("long"), F.col(value_col)).mapInArrow(run, "id long, value string, name_id long").distinct()
+    return spread(df.select(F.col(id_col).cast("long"), F.col(value_col))).mapInArrow(run, "id long, value string, name_id long").distinct()
