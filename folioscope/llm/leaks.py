@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioscope.session import cut
+from folioscope.session import cut, spread
 
 SHINGLE, RUN, ONE_IN = 3, 13, 7
 #: Up to this many distinct item shingles, or candidates, the smaller side is broadcast.
@@ -127,15 +127,18 @@ def contains(words: list[str], ends: list[int], item: list[str], where: dict[str
         return True
     k = n // one_in
     q = min(size, n)
-    diagonals = sorted({d - i for i, s in shingles(item, [], q) for d in where.get(s, ())})
+    # Shingles of one occurrence lie on diagonals at most k apart from their neighbours', and so many
+    # of the item's positions must be among them; only such stretches are aligned.
+    places = sorted((d - i, i) for i, s in shingles(item, [], q) for d in where.get(s, ()))
     at = 0
-    while at < len(diagonals):
+    while at < len(places):
         last = at
-        while last + 1 < len(diagonals) and diagonals[last + 1] - diagonals[last] <= k + 1:
+        while last + 1 < len(places) and places[last + 1][0] - places[last][0] <= k + 1:
             last += 1
-        lo, hi = max(0, diagonals[at] - k - 2), diagonals[last] + n + k + 2
-        if errors(item, words[lo:hi]) <= k:
-            return True
+        if len({i for _, i in places[at : last + 1]}) >= n - q + 1 - q * k:
+            lo, hi = max(0, places[at][0] - k - 2), places[last][0] + n + k + 2
+            if errors(item, words[lo:hi]) <= k:
+                return True
         at = last + 1
     return False
 
@@ -216,7 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     vocabulary = parts.select("s").distinct()
     small = vocabulary.count() <= broadcast_rows
     sent = spark.sparkContext.broadcast({r.s for r in vocabulary.collect()}) if small else None
-    met = corpus.mapInArrow(_doc_shingles(sizes, sent), "doc_id long, s string")
+    met = spread(corpus).mapInArrow(_doc_shingles(sizes, sent), "doc_id long, s string")
     met = cut(met if small else met.join(vocabulary, "s"))  # only shingles that some item has
     frequency = met.groupBy("s").agg(F.countDistinct("doc_id").alias("df"))
     # A shingle of an item that is in no document is the rarest of all, and joins nothing.
@@ -237,4 +240,4 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     pairs = cut(pairs.join(shared, ["doc_id", "item_id"]).join(hint(needs), "item_id").where("shared >= need").select("doc_id", "item_id"))
     few = pairs.count() <= broadcast_rows
     held = corpus.join(F.broadcast(pairs) if few else pairs, "doc_id").join(hint(tests), "item_id").select("doc_id", "item_id", "text", "item_text")
-    return held.mapInArrow(_verify(size, run, one_in), "doc_id long, item_id long").distinct()
+    return spread(held).mapInArrow(_verify(size, run, one_in), "doc_id long, item_id long").distinct()
