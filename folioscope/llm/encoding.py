@@ -120,11 +120,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, ch
     # Repeated rows are counted and repeated again at the end: a number given to each row would differ
     # if a lost task ran again.
     longs = rows.where(long_text).groupBy("id", "text").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("id", "text")).withColumn("n", F.ceil((F.length("text") - overlap) / step).cast("int"))
-    copies = longs.select("id", "row", "copies")
-    chunks = longs.select("id", "row", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substring("text", k * step + 1, F.lit(chunk)))).alias("k", "text"))
-    chunks = chunks.select("id", "row", "k", (F.col("k").cast("long") * step).alias("at"), (F.col("k") == F.col("n") - 1).alias("last"), F.lit(overlap).alias("overlap"), "text")
+    chunks = longs.select("id", "row", "copies", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.substring("text", k * step + 1, F.lit(chunk)))).alias("k", "text"))
+    chunks = chunks.select("id", "row", "copies", "k", (F.col("k").cast("long") * step).alias("at"), (F.col("k") == F.col("n") - 1).alias("last"), F.lit(overlap).alias("overlap"), "text")
     chunks = chunks.repartition(partitions(df.sparkSession), "row", "k")
-    bound = chunks.mapInArrow(_bounds, f"id {kind}, row long, k int, at long, last boolean, overlap int, text string, head array<long>, tail array<long>")
+    bound = chunks.mapInArrow(_bounds, f"id {kind}, row long, copies long, k int, at long, last boolean, overlap int, text string, head array<long>, tail array<long>")
     order = Window.partitionBy("id", "row").orderBy("k")
     cut = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))  # where the next piece starts; null: not found
     cuts = bound.withColumn("to", cut).withColumn("open", F.col("to").isNull() & ~F.col("last"))
@@ -133,11 +132,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str = VOCABULARY, ch
     cuts = cuts.withColumn("run", F.sum("starts").over(order))
     # A chunk that found no stitch ends where its successor begins, and is joined to it.
     own = F.substring("text", (F.coalesce("from", F.col("at")) - F.col("at") + 1).cast("int"), F.when(F.col("last"), F.length("text")).otherwise(F.when(F.col("open"), F.lit(step) - (F.coalesce("from", F.col("at")) - F.col("at"))).otherwise(F.col("to") - F.coalesce("from", F.col("at")))).cast("int"))
-    pieces = cuts.select("id", "row", "run", "k", own.alias("piece")).groupBy("id", "row", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("text"))
-    encoded = pieces.mapInArrow(_encode(path), f"id {kind}, row long, run long, ids array<int>")
-    whole = encoded.groupBy("id", "row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids"))
-    c = copies.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "copies")
-    whole = whole.join(c, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))).select("id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_c")).select("id", "ids")
+    pieces = cuts.select("id", "row", "copies", "run", "k", own.alias("piece")).groupBy("id", "row", "copies", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    encoded = pieces.mapInArrow(_encode(path), f"id {kind}, row long, copies long, run long, ids array<int>")
+    whole = encoded.groupBy("id", "row", "copies").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids"))
+    whole = whole.select("id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_c")).select("id", "ids")
     return short.unionByName(whole)
 
 
