@@ -228,4 +228,15 @@ SELECT layer, round(100 * avg(r::INT), 2) AS overall, coalesce(round(100 * avg(C
     "session_transitions": """
 WITH t AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_state FROM events)
 SELECT event_type, previous_state, (coalesce(previous_state, '') || '>' || event_type) IN ('>signup', '>view', 'signup>view', 'signup>click', 'view>view', 'view>click', 'view>purchase', 'view>error', 'click>view', 'click>purchase', 'click>error', 'purchase>view', 'error>view', 'error>signup') AS valid_transition, count(*) AS n FROM t GROUP BY ALL""",
+    "block_membership": f"""
+WITH RECURSIVE {_OUTLINE}, z AS (SELECT record_id, min(seq) AS lo, max(seq) + 1 AS hi FROM labelled GROUP BY ALL),
+marks AS (SELECT record_id, section AS label, seq AS start, 1 AS k FROM labelled WHERE section IS NOT NULL UNION ALL SELECT record_id, 'front_matter', lo, 0 FROM z),
+ended AS (SELECT record_id, label, start, coalesce(lead(start) OVER (PARTITION BY record_id ORDER BY start, k), hi) AS finish FROM marks JOIN z USING (record_id))
+SELECT l.record_id, l.seq, e.label FROM labelled l JOIN ended e ON e.record_id = l.record_id AND l.seq >= e.start AND l.seq < e.finish""",
+    "citation_expand": r"""
+WITH c AS (SELECT DISTINCT citation_id, raw_text FROM citations),
+i AS (SELECT citation_id, regexp_split_to_array(regexp_replace(translate(raw_text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789'), '[\[\] \t]', '', 'g'), '[,;]') AS items FROM c),
+r AS (SELECT citation_id, list_transform(items, lambda x: CASE WHEN regexp_full_match(x, '\d{1,9}([–-]\d{1,9})?') THEN {'a': try_cast(regexp_extract(x, '^(\d+)', 1) AS INT), 'b': coalesce(try_cast(regexp_extract(x, '[–-](\d+)$', 1) AS INT), try_cast(regexp_extract(x, '^(\d+)', 1) AS INT))} END) AS ends FROM i),
+n AS (SELECT citation_id, CASE WHEN len(list_filter(ends, lambda e: coalesce(e.a >= 1 AND e.b >= e.a AND e.b - e.a <= 1000, false))) = len(ends) THEN flatten(list_transform(ends, lambda e: range(e.a, e.b + 1))) END AS v FROM r)
+SELECT citation_id, CASE WHEN len(v) = len(list_distinct(v)) THEN list_sort(v) END AS numbers FROM n""",
 }
