@@ -36,11 +36,13 @@ def segments(df: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.where(F.length("segment") >= SHORTEST).withColumn("segment_hash", F.substring(F.sha2("segment", 256), 1, 24))
 
 
-def candidates(df: DataFrame, key: str, text: str, authority: Column | None = None, limits: tuple = LIMITS + WORDED) -> DataFrame:
-    """(key, rule_id, target, operator, value, unit, mode): rules a text states, at most one of a pattern.
+def candidates(df: DataFrame, key: str | list[str], text: str, authority: Column | None = None, limits: tuple = LIMITS + WORDED) -> DataFrame:
+    """(key, rule_id, target, operator, value, unit, mode): rules a segment states, at most one of a pattern.
 
-    Sources above the official authority give none.  All patterns are tried in one pass.
+    A text of several sentences is to be cut by segments() first, else its later statements are
+    lost.  Sources above the official authority give none.  All patterns are tried in one pass.
     """
+    keys = [key] if isinstance(key, str) else key
     low = F.lower(F.col(text))
 
     def rule(when: Column, rule_id: str, target: str, op: str, value: Column, unit: str | None, mode: str = "ALWAYS") -> Column:
@@ -55,20 +57,23 @@ def candidates(df: DataFrame, key: str, text: str, authority: Column | None = No
     for rule_id, target, token in STATEMENTS:
         found.append(rule(F.contains(low, F.lit(token)) & low.rlike("requires|must include"), rule_id, target, "EXISTS", F.lit("true"), None))
     rows = df if authority is None else df.where(authority <= OFFICIAL)
-    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("r")).select(key, "r.*").distinct()
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("r")).select(*keys, "r.*").distinct()
 
 
-def conflicts(found: DataFrame, group: list[str], member: str) -> DataFrame:
-    """(group, rule_id, n_values, n_candidates, lowest, highest) of rules with differing values."""
+def conflicts(found: DataFrame, group: list[str], member: list[str]) -> DataFrame:
+    """(group, rule_id, n_values, n_candidates, lowest, highest) of rules with differing values.
+
+    member: what tells the segments apart; each value of one is a candidate.
+    """
     return (
-        found.groupBy(*group, "rule_id").agg(F.countDistinct("value").alias("n_values"), F.countDistinct(member).alias("n_candidates"), F.min("value").alias("lowest"), F.max("value").alias("highest")).where("n_values > 1")
+        found.groupBy(*group, "rule_id").agg(F.countDistinct("value").alias("n_values"), F.countDistinct(*member, "value").alias("n_candidates"), F.min("value").alias("lowest"), F.max("value").alias("highest")).where("n_values > 1")
     )
 
 
-def review(found: DataFrame, evidence: DataFrame, clashing: DataFrame, key: str, text: str, group: list[str]) -> DataFrame:
+def review(found: DataFrame, evidence: DataFrame, clashing: DataFrame, key: list[str], text: str, group: list[str]) -> DataFrame:
     """found with `review`: UNSUPPORTED without evidence, CONFLICTED, UNSUPPORTED if a number isn't in
     the evidence (thousands separators apart), else SUPPORTED.  evidence: one row per key."""
-    e = evidence.select(key, F.regexp_replace(F.col(text), ",", "").alias("_text"))
+    e = evidence.select(*key, F.regexp_replace(F.col(text), ",", "").alias("_text"))
     c = clashing.select(*group, "rule_id").distinct().withColumn("_clash", F.lit(True))
     j = found.join(e, key, "left").join(c, [*group, "rule_id"], "left")
     number = F.col("value").rlike(r"^\d+$") & ~F.contains("_text", F.col("value"))

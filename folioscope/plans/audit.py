@@ -344,18 +344,22 @@ def extracted_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return G.candidates(guideline_texts(spark, folder), "doc_id", "text")
+    """Rules that the segments of each guideline document state, with the document's source; a segment that
+    is repeated in a document counts once, where it first stands."""
+    found = G.candidates(evidence_segments(spark, folder), ["doc_id", "seq", "segment_hash"], "segment")
+    once = found.groupBy(*[c for c in found.columns if c != "seq"]).agg(F.min("seq").alias("seq"))
+    return once.join(guideline_texts(spark, folder).select("doc_id", "source"), "doc_id")
 
 
 def candidate_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    d = guideline_texts(spark, folder)
-    return G.conflicts(document_rules(spark, folder).join(d.select("doc_id", "source"), "doc_id"), ["source"], "doc_id")
+    return G.conflicts(document_rules(spark, folder), ["source"], ["doc_id", "seq"])
 
 
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
-    d = guideline_texts(spark, folder)
-    found = document_rules(spark, folder).join(d.select("doc_id", "source"), "doc_id")
-    return G.review(found, d, G.conflicts(found, ["source"], "doc_id"), "doc_id", "text", ["source"]).select("doc_id", "rule_id", "value", "review")
+    """Each candidate (a rule as a segment states it) with its review, against its own segment."""
+    found = document_rules(spark, folder)
+    clashing = G.conflicts(found, ["source"], ["doc_id", "seq"])
+    return G.review(found, evidence_segments(spark, folder), clashing, ["doc_id", "seq"], "segment", ["source"]).select("doc_id", "seq", "rule_id", "value", "review")
 
 
 def curated_diff(spark: SparkSession, folder: str) -> DataFrame:

@@ -93,6 +93,17 @@ def test_guidelines(spark):
     assert [x.o for x in u.select(G.official(F.col("u"), F.col("r"), ("a.org",), ("OWN",)).alias("o")).collect()] == [True, False, False, False, False]
 
 
+def test_every_segment_of_a_document_states_its_limits(spark, tmp_path):
+    from folioscope.plans import audit
+
+    a = "Main text may not exceed 3,000 words unless agreed. Please write clearly. Main text may not exceed 4500 words in reviews. Main text may not exceed 4500 words in reviews."
+    docs = [(1, a, "s", "guideline"), (2, "Main text may not exceed 900 words at all.", "t", "guideline"), (3, a, "s", "article"), (4, None, "s", "guideline")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, doc_kind string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in audit.candidate_conflicts(spark, str(tmp_path)).collect()] == [("s", "main_text.max_words", 2, 2, "3000", "4500")]
+    rows = {(r.doc_id, r.seq, r.value, r.review) for r in audit.review_queue(spark, str(tmp_path)).collect()}
+    assert rows == {(1, 0, "3000", "CONFLICTED"), (1, 2, "4500", "CONFLICTED"), (2, 0, "900", "SUPPORTED")}
+
+
 def test_packaging(spark):
     f = spark.createDataFrame([("a/Fig-1.png",), ("../x",), ("/abs",), ("notes.txt",)], "p string").select(packaging.file_kind(F.col("p")).alias("k"), packaging.safe_path(F.col("p")).alias("s")).collect()
     assert [(x.k, x.s) for x in f] == [("FIGURE", True), ("OTHER_REQUIRED_FILE", False), ("OTHER_REQUIRED_FILE", False), ("OTHER_REQUIRED_FILE", True)]
