@@ -323,8 +323,8 @@ def reference_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def visible_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The text of pages made around each document."""
-    d = guideline_texts(spark, folder)
+    """The text of pages made around each document that has text."""
+    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
     page = F.concat(F.lit("<html><script>var x = 1;</script><nav>menu</nav><p>"), F.col("text"), F.lit("</p><div style='display: none'>no</div><p>Q&amp;A</p></html>"))
     return d.select("doc_id", T.visible_text(page).alias("visible"))
 

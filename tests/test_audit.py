@@ -104,6 +104,14 @@ def test_every_segment_of_a_document_states_its_limits(spark, tmp_path):
     assert rows == {(1, 0, "3000", "CONFLICTED"), (1, 2, "4500", "CONFLICTED"), (2, 0, "900", "SUPPORTED")}
 
 
+def test_pages_of_every_kind_of_document(spark, tmp_path):
+    from folioscope.plans import audit
+
+    docs = [(1, "One.", "s", "guideline"), (2, "Two.", "s", "article"), (3, "Three.", "s", None), (4, None, "s", "article")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, doc_kind string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in audit.visible_text(spark, str(tmp_path)).collect()} == {(1, "One. Q&A"), (2, "Two. Q&A"), (3, "Three. Q&A")}
+
+
 def test_packaging(spark):
     f = spark.createDataFrame([("a/Fig-1.png",), ("../x",), ("/abs",), ("notes.txt",)], "p string").select(packaging.file_kind(F.col("p")).alias("k"), packaging.safe_path(F.col("p")).alias("s")).collect()
     assert [(x.k, x.s) for x in f] == [("FIGURE", True), ("OTHER_REQUIRED_FILE", False), ("OTHER_REQUIRED_FILE", False), ("OTHER_REQUIRED_FILE", True)]
