@@ -9,24 +9,24 @@ from folioscope.session import cut
 
 #: What a layer's precedence must be.
 PRECEDENCE = {"PUBLISHER": 100, "JOURNAL": 200, "ARTICLE_TYPE": 300}
-#: Levels that are followed: layered rule sets have three.
-MAX_DEPTH = 4
 
 
-def ancestors(links: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(links: DataFrame) -> DataFrame:
     """(root, node, level): every node with itself (level 0) and all it descends from.
 
-    links: child, parent.  A node that comes round to itself is left off its own path, so cycles
-    end; shorter paths win.  Null ends of links are ignored.  depth bounds the joins, each an
-    equi-join; layered rule sets have three levels.
+    links: child, parent.  A pair of root and node that was reached before is not followed again, so
+    cycles end; shorter paths win.  Null ends of links are ignored.  Parents are followed without
+    limit: one equi-join a level, kept by cut(), until a level has no new pair.
     """
-    links = links.select("child", "parent").where("child is not null and parent is not null").distinct()
-    level = links.select(F.col("child").alias("root"), F.col("child").alias("node")).unionByName(links.select(F.col("parent").alias("root"), F.col("parent").alias("node"))).distinct().withColumn("path", F.array("node"))
-    out = level.select("root", "node", F.lit(0).alias("level"))
-    for n in range(1, depth + 1):
-        level = level.join(links, level["node"] == links["child"]).where(~F.array_contains("path", F.col("parent"))).select("root", F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
-        out = out.unionByName(level.select("root", "node", F.lit(n).alias("level")))
-    return cut(out.groupBy("root", "node").agg(F.min("level").alias("level")))
+    links = cut(links.select("child", "parent").where("child is not null and parent is not null").distinct())
+    level = cut(links.select(F.col("child").alias("root"), F.col("child").alias("node")).unionByName(links.select(F.col("parent").alias("root"), F.col("parent").alias("node"))).distinct())
+    out, n = level.withColumn("level", F.lit(0)), 0
+    while not level.isEmpty():
+        n += 1
+        reached = level.join(links, F.col("node") == F.col("child")).select("root", F.col("parent").alias("node")).distinct()
+        level = cut(reached.join(out.select("root", "node"), ["root", "node"], "left_anti"))
+        out = out.unionByName(level.withColumn("level", F.lit(n)))
+    return out
 
 
 def resolve(candidates: DataFrame) -> DataFrame:

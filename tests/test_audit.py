@@ -43,6 +43,13 @@ def test_resolution_classes(spark):
     assert {(r.root, r.node, r.level) for r in layers.ancestors(links).where("root = 'x'").collect()} == {("x", "x", 0), ("x", "y", 1), ("x", "z", 2)}
 
 
+def test_ancestors_of_deep_chains(spark):
+    links = [(f"n{i}", f"n{i + 1}") for i in range(7)] + [("n7", "n6"), ("n0", "n3"), ("n0", "n0"), (None, "n0")]
+    got = {(r.node, r.level) for r in layers.ancestors(spark.createDataFrame(links, "child string, parent string")).where("root = 'n0'").collect()}
+    assert got == {("n0", 0), ("n1", 1), ("n2", 2), ("n3", 1), ("n4", 2), ("n5", 3), ("n6", 4), ("n7", 5)}
+    assert layers.ancestors(spark.createDataFrame([("x", None)], "child string, parent string")).count() == 0
+
+
 def test_tokens_and_digest(spark):
     a = "We saw 5 % of n = 12 (p < 0.05), Figure 2 [3,4], doi 10.1000/ABC"
     df = spark.createDataFrame([(1, a, a.replace("12", "13")), (2, a, a), (3, None, "")], "id int, a string, b string")
