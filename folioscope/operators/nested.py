@@ -73,11 +73,14 @@ class Graph:
         return {x for x, es in into.items() if not es or any(e.many for e in es) or len({(e.parent, e.name) for e in es}) > 1 or self.recursive(x)}
 
     def relations(self) -> dict[str, Relation]:
-        """The table of each element that has one, singletons below it inlined as a_b columns."""
+        """The table of each element that has one, singletons below it inlined as a_b columns.
+
+        a_more keeps, as JSON, what a record has beyond the one entry that could be inlined.
+        """
         own = self.tables()
 
         def columns(element: str, prefix: str) -> list[str]:
-            below = [c for e in self.out(element) if e.child not in own for c in columns(e.child, f"{prefix}{e.name}_")]
+            below = [c for e in self.out(element) if e.child not in own for c in (*columns(e.child, f"{prefix}{e.name}_"), f"{prefix}{e.name}_more")]
             return [prefix + f for f in self.fields[element]] + below
 
         def holders(element: str) -> set[str]:
@@ -130,7 +133,7 @@ _ARROW = pa.schema([
 _TOKEN = re.compile(r'\s*(?:([\[\]{},:])|("(?:[^"\\]|\\.)*")|([^\s\[\]{},:"]+))', re.S)
 
 
-def _flat_parse(text: str) -> object:
+def flat_parse(text: str) -> object:
     """JSON of any depth without recursion; ValueError if it isn't JSON."""
     stack: list = []
     top: list = []
@@ -186,30 +189,37 @@ def _flat_parse(text: str) -> object:
     return top[0]
 
 
+def loads(text: str) -> object:
+    """The value of a JSON text of any depth; ValueError if it isn't JSON."""
+    try:
+        return json.loads(text, strict=False)
+    except RecursionError:
+        return flat_parse(text)
+
+
 def parse_any(text: str | None) -> object:
     """The value of a JSON text, decoded again while it is itself a JSON string; None if damaged."""
     if text is None:
         return None
     value: object = text
-    for depth in range(16):
+    depth = 0
+    while True:  # each decoding shortens the text
         try:
-            value = json.loads(value, strict=False)
-        except RecursionError:
-            try:
-                value = _flat_parse(value)
-            except ValueError:
-                return None
+            value = loads(value)
         except ValueError:
             return value if depth else None
         if not isinstance(value, str):
             return value
-    return value
+        depth += 1
 
 
-def _entries(value: object, many: bool) -> list:
-    """What stands at an edge, as a list: a single object or string is a list of one."""
+def _entries(value: object) -> list:
+    """What stands at an edge, as a list: a single object or string is a list of one.
+
+    A list where one value is due keeps all its entries, each a row of its own.
+    """
     if isinstance(value, list):
-        return value if many else value[:1]
+        return value
     return [value] if isinstance(value, (dict, str)) else []
 
 
@@ -218,7 +228,7 @@ def walk(graph: Graph, own: set[str], edge: Edge, value: object, with_attrs: boo
     todo = [(edge, value, "root", edge.parent)]
     while todo:
         e, v, parent, parent_table = todo.pop()
-        for i, x in enumerate(_entries(v, e.many)):
+        for i, x in enumerate(_entries(v)):
             if x is None:
                 continue
             path = f"{e.step}{i}" if parent == "root" else f"{parent}.{e.step}{i}"
@@ -228,6 +238,12 @@ def walk(graph: Graph, own: set[str], edge: Edge, value: object, with_attrs: boo
             below = [(e.child, x, "")]
             while below:
                 element, obj, prefix = below.pop()
+                if prefix and not isinstance(obj, dict):  # an inlined element has room for one object; all else stays as JSON
+                    each = obj if isinstance(obj, list) else [obj]
+                    first = next((o for o in each if isinstance(o, dict)), None)
+                    if with_attrs and (more := [o for o in each if o is not first and o is not None]):
+                        attrs.append((f"{prefix}more", json.dumps(more, ensure_ascii=False)))
+                    obj = first
                 if not isinstance(obj, dict):
                     continue
                 if with_attrs:
@@ -249,8 +265,9 @@ def shred_json(df: DataFrame, id_col: str, json_col: str, graph: Graph, edge: Ed
     A narrow, streaming pass: records aren't shuffled (but to use all cores, if the input has fewer
     partitions) and their depth is not limited.  Null,
     blank or damaged JSON gives no rows; text that was JSON-encoded several times is decoded as
-    often.  A single object or string in place of a list is a list of one; null entries keep their
-    position but give no row; other values in place of a list give none.  Of repeated keys of an
+    often.  A single object or string in place of a list is a list of one, and a list in place of a
+    single object gives each of its entries; null entries keep their position but give no row; other
+    values in place of a list give none.  Of repeated keys of an
     object the last counts.  A repeated id gives its rows again.  Other columns are ignored.
     elements: only these tables (all if empty); with_attrs: whether attrs is filled.
     """

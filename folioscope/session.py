@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -31,13 +35,19 @@ def build_session(name: str = "folioscope", master: str | None = None, **conf: s
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the session's shared checkpoint folder and reads it from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir.  Only where no folder is
-    named, as in local tests, a temporary one is set.
+    The folder is the one the cluster names in spark.checkpoint.dir.  Only where the master is this
+    machine alone, as in tests, one is made if none is named, and removed at the end; elsewhere an
+    error says what is missing, as executors share no local folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-"))
+        if named is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+            named = tempfile.mkdtemp(prefix="folioscope-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
@@ -51,11 +61,20 @@ def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     return max(partitions(spark), math.ceil(rows / rows_per_part))
 
 
+def _bytes(size: str) -> int:
+    """A size setting in bytes, such as 16m or 128MB."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it has fewer partitions than there are; else as it is.
+    """df over all cores, if its input is too small to have a split for each; else as it is.
 
-    For narrow stages that cost much more per row than moving the row: one small file must not
-    keep a cluster waiting for one task.  Inputs of any size beyond that are never moved.
+    For narrow stages over a scan that cost much more per row than moving the row: one small file
+    must not keep a cluster waiting for one task.  Decided by the optimizer's size of the input, so
+    no job is run, and what is moved is bounded by the cluster's size, not by the data's.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) else df
