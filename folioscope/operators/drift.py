@@ -4,56 +4,100 @@
 value has another type, isn't lost: its JSON text goes into the `rescued` map.  `promote` gives
 approved fields a typed column and replays the rescued values into it.  `changes` compares the files
 of a feed by what was ingested, typed and rescued, and reports each change.
+
+Payloads are parsed once, in Arrow batches: as column expressions the parse would be copied into
+every filter and field that asks for it.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from folioscope.session import cut
+from folioscope.operators.nested import flat_parse
+from folioscope.session import cut, spread
 
-#: JSON type of a value, from the name of its variant type.
-_NUMERIC = "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
-#: SQL types that a JSON type can be cast to without loss of meaning.
-CASTS = {"string": ("string", "timestamp", "date"), "number": ("bigint", "int", "double"), "boolean": ("boolean",), "array": ("array<string>",), "object": ("string",)}
+#: A bit for each JSON type, so that a set of types is a number.
+TYPE_BITS = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
+#: Up to this many events of fields their list is broadcast; beyond that it is joined.
+BROADCAST_EVENTS = 500_000
 
 
-def json_type(v: Column) -> Column:
-    """string, number, boolean, array, object or null of a variant."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(name.rlike(_NUMERIC), "number").when(name.startswith("ARRAY"), "array").when(name.startswith("OBJECT"), "object").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null").otherwise("string")
-    )
+def _refuse(word: str) -> None:
+    raise ValueError(word)
 
 
-def _typed(v: Column, kind: Column, target: str) -> Column:
-    """The value as `target`, null if it is of another JSON type or can't be cast."""
-    homes = [k for k, ts in CASTS.items() if target in ts]
-    text = F.expr("cast(null as string)")
-    if not homes:
-        raise ValueError(f"no JSON type is read as {target}")
-    if target == "string":
-        value = F.when(kind == "string", F.try_variant_get(v, "$", "string"))
-    elif target.startswith("array"):
-        value = F.when(kind == "array", F.try_variant_get(v, "$", target))
-    elif target in ("timestamp", "date"):
-        value = F.when(kind == "string", F.try_variant_get(v, "$", "string").try_cast(target))
-    else:
-        value = F.when(kind.isin(homes), F.try_variant_get(v, "$", target))
-    return value if target != "string" else F.coalesce(value, text)
+def _loads(text: str) -> object:
+    """The value of a JSON text of any depth; ValueError if it isn't JSON."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return flat_parse(text)
 
 
-def entries(feed: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per top-level field of each payload: feed's columns, _key, _value (variant), _type.
+def _plain(text: str) -> str:
+    """A text that can be stored: half surrogate pairs become question marks."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
-    Null payloads, and those that can't be parsed as an object, count for nothing.
-    """
-    parsed = feed.withColumn("_v", F.try_parse_json(payload)).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    # variant_explode is a table function only; the lateral join stays within the row.
-    exploded = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    return exploded.drop("_v", "pos").withColumnsRenamed({"key": "_key", "value": "_value"}).withColumn("_type", json_type(F.col("_value")))
+
+def _json(value: object) -> str:
+    """Compact JSON text of a value."""
+    text = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return text if text.isascii() or _plain(text) == text else json.dumps(value, separators=(",", ":"))
+
+
+def _whole(bits: int) -> Callable:
+    def read(x: object) -> int | None:
+        if isinstance(x, bool) or not isinstance(x, (int, float)) or x != x or abs(x) == float("inf") or x != int(x):
+            return None
+        return int(x) if -(1 << bits - 1) <= x < 1 << bits - 1 else None
+
+    return read
+
+
+def _iso(parse: Callable) -> Callable:
+    def read(x: object) -> object:
+        try:
+            return parse(x.strip()) if isinstance(x, str) else None
+        except ValueError:
+            return None
+
+    return read
+
+
+def _moment(text: str) -> dt.datetime:
+    t = dt.datetime.fromisoformat(text)
+    return t if t.tzinfo else t.replace(tzinfo=dt.timezone.utc)
+
+
+#: How a JSON value is read as a SQL type; None if it is of another JSON type or doesn't fit.
+READERS: dict[str, Callable] = {
+    "string": lambda x: _plain(x) if isinstance(x, str) else None,
+    "bigint": _whole(64), "int": _whole(32),
+    "double": lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < 1e308 else None,
+    "boolean": lambda x: x if isinstance(x, bool) else None,
+    "array<string>": lambda x: [y if y is None else _plain(y) if isinstance(y, str) else _json(y) for y in x] if isinstance(x, list) else None,
+    "date": _iso(dt.date.fromisoformat), "timestamp": _iso(_moment),
+}
+
+
+def _known(fields: dict[str, str]) -> dict[str, Callable]:
+    if unknown := set(fields.values()) - set(READERS):
+        raise ValueError(f"no JSON type is read as {sorted(unknown)}")
+    return {k: READERS[t] for k, t in fields.items()}
+
+
+def _schema(own: list[T.StructField], fields: dict[str, str], *more: tuple[str, str]) -> T.StructType:
+    extra = [T.StructField(k, T._parse_datatype_string(t)) for k, t in (*fields.items(), *more)]
+    return T.StructType([*own, *extra])
 
 
 def ingest(feed: DataFrame, target: dict[str, str], payload: str = "payload") -> DataFrame:
@@ -61,68 +105,100 @@ def ingest(feed: DataFrame, target: dict[str, str], payload: str = "payload") ->
 
     A field of the target whose value is of another type, and every other field, goes to `rescued`
     as JSON text (JSON null included, so that its presence is kept).  `damaged` is the payload where
-    it isn't a JSON object, else null; such a row has null fields and an empty `rescued`.  Names of
-    the target that clash with the feed's own columns are refused.
+    it isn't a JSON object, else null; such a row has null fields and an empty `rescued`, and so has
+    a null payload, with a null `damaged`.  Of repeated keys of an object the last counts.  Names of
+    the target that clash with the feed's own columns are refused.  Narrow, one parse per payload.
     """
     if clash := set(target) & set(feed.columns):
         raise ValueError(f"columns of the feed: {sorted(clash)}")
-    v = F.try_parse_json(payload)
-    good = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    rows = feed.withColumn("_v", v).withColumn("_good", good)
-    rows = rows.withColumn("_fields", F.when(F.col("_good"), F.col("_v").try_cast("map<string,variant>")))
-    typed = {}
-    for name, kind in target.items():
-        x = F.col("_fields")[name]
-        typed[name] = _typed(x, json_type(x), kind)
-    rows = rows.withColumns({f"_t_{k}": c for k, c in typed.items()})
-    kept = F.array_compact(F.array(*[F.when(F.col(f"_t_{k}").isNotNull(), F.lit(k)) for k in target])) if target else F.expr("cast(array() as array<string>)")
-    # A map of variants can't pass through a filter function, so the rest is taken by key.
-    names = F.array_except(F.map_keys("_fields"), kept)
-    rescued = F.when(F.col("_good"), F.map_from_arrays(names, F.transform(names, lambda k: F.to_json(F.col("_fields")[k])))).otherwise(F.expr("cast(map() as map<string,string>)"))
-    own = [c for c in feed.columns if c != payload]
-    return rows.select(*own, *[F.col(f"_t_{k}").alias(k) for k in target], rescued.alias("rescued"), F.when(~F.col("_good"), F.col(payload)).alias("damaged"))
+    readers = _known(target)
+    own = [f for f in feed.schema.fields if f.name != payload]
+    schema = _schema(own, target, ("rescued", "map<string,string>"), ("damaged", "string"))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            typed: dict[str, list] = {k: [None] * batch.num_rows for k in readers}
+            rescued: list[list] = []
+            damaged: list[str | None] = []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                rest: list[tuple[str, str]] = []
+                broken = None
+                if text is not None:
+                    try:
+                        record = _loads(text)
+                        if isinstance(record, dict):
+                            for k, v in record.items():
+                                if v is None or k not in readers or (x := readers[k](v)) is None:
+                                    rest.append((_plain(k), _json(v)))
+                                else:
+                                    typed[k][i] = x
+                        else:
+                            broken = text
+                    except (ValueError, RecursionError):
+                        rest, broken = [], text
+                        for column in typed.values():
+                            column[i] = None
+                rescued.append(rest)
+                damaged.append(broken)
+            made = [*typed.values(), rescued, damaged]
+            arrays = [pa.array(c, f.type) for c, f in zip(made, list(arrow)[len(own) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
+
+    return spread(feed.select(*[f.name for f in own], payload)).mapInArrow(run, schema)
 
 
 def promote(ingested: DataFrame, approved: dict[str, str], aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Approved fields as typed columns, filled from `rescued`; what now has a column leaves the map.
 
     aliases: other names a field came under, in order of preference after its own.  Values that
-    can't be cast stay rescued.  A column that exists already is filled where it is null.
+    can't be cast stay rescued.  A column that exists already is filled where it is null.  Narrow;
+    each rescued value that any name asks for is parsed once, however many names there are.
     """
-    out = ingested
-    taken: list[Column] = []
-    for name, kind in approved.items():
-        value: Column | None = F.col(name) if name in ingested.columns else None
-        for source in (name, *(aliases or {}).get(name, ())):
-            v = F.try_parse_json(F.col("rescued")[source])
-            typed = _typed(v, json_type(v), kind)
-            free = F.lit(True) if value is None else value.isNull()
-            taken.append(F.when(free & typed.isNotNull(), F.lit(source)))
-            value = typed if value is None else F.coalesce(value, typed)
-        out = out.withColumn(f"_p_{name}", value)
-    gone = F.array_compact(F.array(*taken)) if taken else F.expr("cast(array() as array<string>)")
-    out = out.withColumn("rescued", F.map_filter("rescued", lambda k, _: ~F.array_contains(gone, k)))
-    return out.drop(*[a for a in approved if a in ingested.columns]).withColumnsRenamed({f"_p_{a}": a for a in approved})
+    readers = _known(approved)
+    names = {k: (k, *(aliases or {}).get(k, ())) for k in approved}
+    own = [f for f in ingested.schema.fields if f.name != "rescued" and f.name not in approved]
+    held = [k for k in approved if k in ingested.columns]
+    schema = _schema(own, approved, ("rescued", "map<string,string>"))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {k: batch.column(k).to_pylist() if k in held else [None] * batch.num_rows for k in approved}
+            rest: list[list] = []
+            for i, pairs in enumerate(batch.column("rescued").to_pylist()):
+                left = dict(pairs or ())
+                if left:
+                    for k, column in out.items():
+                        if column[i] is None:
+                            for name in names[k]:
+                                if name in left and (x := readers[k](_loads(left[name]))) is not None:
+                                    column[i] = x
+                                    del left[name]
+                                    break
+                rest.append(list(left.items()))
+            arrays = [pa.array(c, f.type) for c, f in zip([*out.values(), rest], list(arrow)[len(own) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in own], *arrays], names=schema.names)
+
+    return ingested.select(*[f.name for f in own], *held, "rescued").mapInArrow(run, schema)
 
 
 def observed(ingested: DataFrame, target: dict[str, str], *keys: str) -> DataFrame:
-    """One row per field that a payload had, typed or rescued: keys, field, type, value as JSON text.
+    """One row per field that a payload had, typed or rescued: keys, field, type, value.
 
-    Numbers are written alike however they were spelt; type is null for JSON null.
+    type is a bit of TYPE_BITS, 0 for null, read off the JSON text, which isn't parsed again; value
+    is that text, with numbers written alike however they were spelt.
     """
-    json_of = {k: next(j for j, ts in CASTS.items() if t in ts) for k, t in target.items()}
-    typed = [F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("field"), F.lit(json_of[k]).alias("type"), (F.to_json(k) if t.startswith("array") else F.col(k).cast("string")).alias("value"))) for k, t in target.items()]
-    v = F.try_parse_json("_e.value")
-    rescued = ingested.select(*keys, F.explode(F.map_entries("rescued")).alias("_e")).select(*keys, F.col("_e.key").alias("field"), json_type(v).alias("type"), v.alias("_v"), F.col("_e.value").alias("value"))
-    rescued = rescued.select(
-        *keys, "field", F.nullif("type", F.lit("null")).alias("type"), F.when(F.col("type") == "number", F.try_variant_get("_v", "$", "double").cast("string")).when(F.col("type") == "string", F.try_variant_get("_v", "$", "string")).otherwise(F.col("value")).alias("value")
-    )
-    if not typed:
-        return rescued
-    return ingested.select(*keys, F.explode(F.array_compact(F.array(*typed))).alias("_s")).select(*keys, "_s.*").unionByName(rescued)
-
-
-def changes(seen: DataFrame, feed: str = "feed_id", seq: str = "file_seq", rule: str = "rule") -> DataFrame:
+    bare = lambda c: F.expr(f"substring(to_json(array(`{c}`)), 2, length(to_json(array(`{c}`))) - 2)")
+    typed = [F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("key"), bare(k).alias("value"))) for k in target]
+    each = F.concat(F.array_compact(F.array(*typed)), F.map_entries("rescued")) if typed else F.map_entries("rescued")
+    rows = ingested.select(*keys, F.explode(each).alias("_e")).select(*keys, F.col("_e.key").alias("field"), F.col("_e.value").alias("_v"))
+    first, bit = F.substring("_v", 1, 1), TYPE_BITS
+    kind = F.when(first == '"', bit["string"]).when(first == "{", bit["object"]).when(first == "[", bit["array"]).when(first.isin("t", "f"), bit["boolean"]).when(first == "n", 0).otherwise(bit["number"])
+    return rows.withColumn("type", kind).select(*keys, "field", "type", F.when(F.col("type") == bit["number"], F.col("_v").cast("double").cast("string")).otherwise(F.col("_v")).alias("value"))
+
+
+def changes(seen: DataFrame, feed: str = "feed_id", seq: str = "file_seq", rule: str = "rule", only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """feed, seq, change, old_field, new_field: each file against the preceding one of its feed.
 
     seen: rows of `observed`, keyed by feed, seq and rule.  A file without a readable payload is no
@@ -131,41 +207,47 @@ def changes(seen: DataFrame, feed: str = "feed_id", seq: str = "file_seq", rule:
     A field that ends or begins otherwise is removed or added.  retyped: a field is in both files
     with differing sets of types (of none, if all its values are null).  Rows with a null feed or
     seq are ignored; so are null rules where values are compared.  One feed or file may hold most
-    rows: types and values are reduced before they are shuffled, and no group is gathered.
+    rows: first each file's fields are reduced to one row each, with the set of types as a number,
+    and only values of fields that end or begin where others do the opposite are compared, as hashes.
+    only: gives the rows of `seen` of the files (feed, seq) in a table, where they can be had for less.
     """
-    pair = F.when(F.col("type").isNotNull(), F.struct("type", "value"))
     seen = seen.where(F.col(feed).isNotNull() & F.col(seq).isNotNull())
-    # One row per field and rule of a file, written once, as all that follows starts from it.
-    base = cut(seen.groupBy(feed, seq, rule, "field").agg(F.collect_set("type").alias("types"), F.min(pair).alias("_lo"), F.max(pair).alias("_hi")))
-    each = base.select(feed, seq, "field", F.explode_outer("types").alias("type"))
-    fields = each.groupBy(feed, seq, "field").agg(F.array_sort(F.collect_set("type")).alias("types"))  # five types at most
-    files = fields.select(feed, seq).distinct()
-    order = Window.partitionBy(feed).orderBy(seq)
-    files = files.select(feed, F.col(seq).alias("_old"), F.lead(seq).over(order).alias("_new")).where("_new is not null")
-    old = files.join(fields.withColumnRenamed(seq, "_old"), [feed, "_old"]).select(feed, "_new", "_old", "field", F.col("types").alias("_before"))
-    new = files.join(fields.withColumnRenamed(seq, "_new"), [feed, "_new"]).select(feed, "_new", "_old", "field", F.col("types").alias("_after"))
-    both = old.join(new, [feed, "_new", "_old", "field"], "full")
-    moved = both.where("_before is null or _after is null")
-    ends = moved.where("_after is null").select(feed, "_new", "_old", F.col("field").alias("_a"))
-    begins = moved.where("_before is null").select(feed, "_new", "_old", F.col("field").alias("_b"))
-    values = base.where(F.col("_lo").isNotNull() & F.col(rule).isNotNull()).drop("types")
-    was = ends.join(values.withColumnRenamed(seq, "_old"), (["_old", feed])).where(F.col("_a") == F.col("field")).select(feed, "_new", rule, "_a", F.col("_lo").alias("_alo"), F.col("_hi").alias("_ahi"))
-    now = begins.join(values.withColumnRenamed(seq, "_new"), (["_new", feed])).where(F.col("_b") == F.col("field")).select(feed, "_new", rule, "_b", F.col("_lo").alias("_blo"), F.col("_hi").alias("_bhi"))
-    same = (F.col("_alo") == F.col("_blo")) & (F.col("_ahi") == F.col("_bhi")) & (F.col("_alo") == F.col("_ahi"))
-    renamed = was.join(now, [feed, "_new", rule]).groupBy(feed, "_new", "_a", "_b").agg(F.bool_and(same).alias("_same")).where("_same")
-    gone = ends.join(renamed.select(feed, "_new", "_a").distinct(), [feed, "_new", "_a"], "left_anti")
-    come = begins.join(renamed.select(feed, "_new", "_b").distinct(), [feed, "_new", "_b"], "left_anti")
-    retyped = both.where((F.col("_before") != F.col("_after")) & F.col("_before").isNotNull() & F.col("_after").isNotNull())
-
-    def row(df: DataFrame, change: str, a: Column, b: Column) -> DataFrame:
-        return df.select(feed, F.col("_new").alias(seq), F.lit(change).alias("change"), a.alias("old_field"), b.alias("new_field"))
-
-    return (
-        row(renamed, "renamed", F.col("_a"), F.col("_b"))
-        .unionByName(row(gone, "removed", F.col("_a"), F.lit("")))
-        .unionByName(row(come, "added", F.lit(""), F.col("_b")))
-        .unionByName(row(retyped, "retyped", F.col("field"), F.col("field")))
-    )
+    fields = cut(seen.groupBy(feed, seq, "field").agg(F.bit_or("type").alias("_mask")))
+    # Files of a feed in order; each field's files in order beside them.
+    file_order = Window.partitionBy(feed).orderBy(seq)
+    files = fields.select(feed, seq).distinct().withColumns({"_k": F.row_number().over(file_order), "_next": F.lead(seq).over(file_order)})
+    own = Window.partitionBy(feed, "field").orderBy(seq)
+    line = fields.join(files, [feed, seq]).withColumns({"_before": F.lag("_k").over(own), "_old_mask": F.lag("_mask").over(own), "_after": F.lead("_k").over(own)})
+    stays = F.col("_before") == F.col("_k") - 1
+    began = (F.col("_k") > 1) & ~F.coalesce(stays, F.lit(False))
+    ended = F.col("_next").isNotNull() & ~F.coalesce(F.col("_after") == F.col("_k") + 1, F.lit(False))
+    event = lambda at, kind: F.struct(at.alias("_new"), F.lit(kind).alias("_kind"))
+    found = F.array_compact(F.array(
+        F.when(began, event(F.col(seq), "begin")), F.when(ended, event(F.col("_next"), "end")), F.when(stays & (F.col("_mask") != F.col("_old_mask")), event(F.col(seq), "retyped")),
+    ))
+    events = cut(line.select(feed, seq, "field", F.explode(found).alias("_e")).select(feed, seq, "field", "_e.*"))
+    moved = events.where("_kind != 'retyped'")
+    both = moved.groupBy(feed, "_new").agg(F.countDistinct("_kind").alias("_n")).where("_n = 2").select(feed, "_new")
+    moved = moved.join(both, [feed, "_new"], "left_semi")
+    small = events.count() <= BROADCAST_EVENTS
+    asked = F.broadcast(moved) if small else moved
+    files = moved.select(feed, seq).distinct()
+    seen = only(F.broadcast(files) if small else files) if only else seen
+    # One hash per field, rule and side; a rule with several values in a file has none that could be equal.
+    value = F.xxhash64("type", "value")
+    held = seen.where((F.col("type") > 0) & F.col(rule).isNotNull()).join(asked, [feed, seq, "field"])
+    sides = held.groupBy(feed, "_new", rule, "_kind", "field").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # A rule's fields that end or begin in one file: few, as a record has few fields.
+    beside = sides.groupBy(feed, "_new", rule).agg(*[F.collect_list(F.when(F.col("_kind") == k, F.struct("field", "_lo", "_hi"))).alias(f"_{k}s") for k in ("end", "begin")])
+    same = lambda a, b: (a["_lo"] == a["_hi"]) & (b["_lo"] == b["_hi"]) & (a["_lo"] == b["_lo"])
+    pairs = F.flatten(F.transform("_ends", lambda a: F.transform(F.col("_begins"), lambda b: F.struct(a["field"].alias("_a"), b["field"].alias("_b"), same(a, b).alias("_same")))))
+    compared = beside.where("size(_ends) > 0 and size(_begins) > 0").select(feed, "_new", F.explode(pairs).alias("_p")).select(feed, "_new", "_p.*")
+    renamed = cut(compared.groupBy(feed, "_new", "_a", "_b").agg(F.bool_and("_same").alias("_same")).where("_same"))
+    named = renamed.select(feed, "_new", F.explode(F.array(F.struct(F.lit("end").alias("_kind"), F.col("_a").alias("field")), F.struct(F.lit("begin").alias("_kind"), F.col("_b").alias("field")))).alias("_x")).select(feed, "_new", "_x.*").distinct()
+    rest = events.join(named, [feed, "_new", "_kind", "field"], "left_anti")
+    change = F.when(F.col("_kind") == "end", "removed").when(F.col("_kind") == "begin", "added").otherwise("retyped")
+    single = rest.select(feed, F.col("_new").alias(seq), change.alias("change"), F.when(F.col("_kind") == "begin", "").otherwise(F.col("field")).alias("old_field"), F.when(F.col("_kind") == "end", "").otherwise(F.col("field")).alias("new_field"))
+    return renamed.select(feed, F.col("_new").alias(seq), F.lit("renamed").alias("change"), F.col("_a").alias("old_field"), F.col("_b").alias("new_field")).unionByName(single)
 
 
 def rename_aliases(changed: DataFrame, targets: list[str]) -> dict[str, tuple[str, ...]]:

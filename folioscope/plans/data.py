@@ -94,9 +94,13 @@ FEED_APPROVED = {
 
 
 def feed_changes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = drift.ingest(table(spark, folder, "profile_feed", "feed_id", "file_seq", "payload"), FEED_TARGET)
-    keyed = rows.where("damaged is null").withColumn("rule", F.col("rule_id"))
-    return drift.changes(drift.observed(keyed, FEED_TARGET, "feed_id", "file_seq", "rule"))
+    feed = table(spark, folder, "profile_feed", "feed_id", "file_seq", "payload")
+
+    def seen(rows: DataFrame) -> DataFrame:
+        keyed = drift.ingest(rows, FEED_TARGET).where("damaged is null").withColumn("rule", F.col("rule_id"))
+        return drift.observed(keyed, FEED_TARGET, "feed_id", "file_seq", "rule")
+
+    return drift.changes(seen(feed), only=lambda files: seen(feed.join(files, ["feed_id", "file_seq"], "left_semi")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

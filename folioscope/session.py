@@ -77,4 +77,6 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) else df
+    if size >= cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
