@@ -14,6 +14,7 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,6 +100,7 @@ def pairs() -> Iterator[tuple[str, str]]:
             yield c, unicodedata.normalize("NFD", c)
 
 
+@cache
 def classes() -> list[list[str]]:
     """Classes of look-alike strings; combinations of a look-alike letter and marks included."""
     found = UnionFind()
@@ -176,12 +178,11 @@ class Rewriter:
         text = text.translate(self.unseen)
         # Marks in canonical order first, so that one spelling of a pattern is enough.
         text = unicodedata.normalize("NFC", text)
-        for _ in range(8):
-            again = self.once(text)
-            if again == text:
-                break
-            text = unicodedata.normalize("NFC", again)
-        return text
+        seen = [text]
+        while (text := unicodedata.normalize("NFC", self.once(text))) not in seen:
+            seen.append(text)
+        # As a rule the last one stays as it is; were there a round of forms, its least would stand for all.
+        return min(seen[seen.index(text) :])
 
 
 def member_counts(texts: DataFrame, text_col: str, groups: list[list[str]]) -> dict[str, int]:
@@ -233,28 +234,41 @@ def canonical(df: DataFrame, text_col: str, out_col: str, table: dict[str, str])
     return spread(df).withColumn(out_col, F.pandas_udf(rewrite, "string")(F.col(text_col)))
 
 
-def look_alike_pairs(df: DataFrame, kind: str, key: str, text: str, form: str) -> DataFrame:
+def look_alike_classes(df: DataFrame, kind: str, key: str, text: str, form: str) -> DataFrame:
+    """(kind, key, text_id, class_id, n_texts, n_keys): each key's text and the class of texts that look
+    like it, with the numbers of its different texts and of its keys.
+
+    One row per kind, key and text; ids are hashes of the text and of its form.  Only these are
+    shuffled, never texts, and classes are counted, never gathered: a form that a third of all rows
+    has is combined before the shuffle.  Rows with a null key or text are ignored, repeated rows
+    count once.
+    """
+    rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.unhex(F.sha2(text, 256)).alias("text_id"), F.unhex(F.sha2(form, 256)).alias("class_id"))
+    rows = cut(rows.where("key is not null and text_id is not null").distinct())
+    texts = rows.groupBy("kind", "class_id", "text_id").agg(F.count("*").alias("n"))
+    sizes = texts.groupBy("kind", "class_id").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_keys"))
+    return rows.join(sizes, ["kind", "class_id"]).select("kind", "key", "text_id", "class_id", "n_texts", "n_keys")
+
+
+def look_alike_pairs(classed: DataFrame) -> DataFrame:
     """(kind, key_a, key_b): keys of one kind whose texts have one form but differ, key_a < key_b.
 
-    Works on distinct texts: a form's texts meet each other, never their copies; each copy's key
-    joins its text afterwards.  So nothing is emitted that isn't a result, and no group is gathered.
-    Rows with a null key or text are ignored, repeated rows count once.
+    classed: as from look_alike_classes.  A class's different texts meet each other, never their
+    copies; each copy's key joins its text afterwards.  So nothing is emitted that isn't a result.
     """
-    rows = df.select(F.col(kind).alias("kind"), F.col(key).alias("key"), F.sha2(text, 256).alias("t"), F.sha2(form, 256).alias("f")).where("key is not null and t is not null").distinct()
-    rows = cut(rows)
-    texts = rows.select("kind", "f", "t").distinct()
-    mixed = texts.groupBy("kind", "f").agg(F.count("*").alias("n")).where("n > 1").select("kind", "f")
-    texts = texts.join(mixed, ["kind", "f"], "left_semi")
-    a, b = texts.withColumnRenamed("t", "ta"), texts.withColumnRenamed("t", "tb")
-    differ = a.join(b, ["kind", "f"]).where("ta < tb").select("kind", "ta", "tb")
-    keys = rows.select("kind", "t", "key")
-    met = differ.join(keys.withColumnsRenamed({"t": "ta", "key": "x"}), ["kind", "ta"]).join(keys.withColumnsRenamed({"t": "tb", "key": "y"}), ["kind", "tb"])
+    keys = classed.where("n_texts > 1").select("kind", "class_id", "text_id", "key")
+    texts = keys.select("kind", "class_id", "text_id").distinct()
+    differ = texts.withColumnRenamed("text_id", "ta").join(texts.withColumnRenamed("text_id", "tb"), ["kind", "class_id"]).where("ta < tb").select("kind", "ta", "tb")
+    own = keys.select("kind", "text_id", "key")
+    met = differ.join(own.withColumnsRenamed({"text_id": "ta", "key": "x"}), ["kind", "ta"]).join(own.withColumnsRenamed({"text_id": "tb", "key": "y"}), ["kind", "tb"])
     lo, hi = F.least("x", "y"), F.greatest("x", "y")
     return met.where("x != y").select("kind", lo.alias("key_a"), hi.alias("key_b")).distinct()
 
 
 def forms(df: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
-    """df with its canonical form in `form`, and the table of substitutes fitted on all of df."""
+    """df with its canonical form in `form`, and the table of substitutes fitted on all of df.
+
+    Two narrow passes over df, one to count members and one to rewrite."""
     groups = classes()
     table = representatives(groups, member_counts(df, text_col, groups))
     return canonical(df, text_col, "form", table), table

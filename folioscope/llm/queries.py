@@ -10,23 +10,33 @@ from folioscope.sources.tables import table
 
 
 def keyed_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(text_kind, key, text) of evidence and of the paragraphs of abstracts, without repeats."""
+    """(text_kind, key, text) of evidence and of the paragraphs of abstracts."""
     evidence = table(spark, folder, "evidence_records").select(F.lit("evidence").alias("text_kind"), F.col("evidence_id").alias("key"), F.col("evidence_text").alias("text"))
     sections = table(spark, folder, "manuscripts", "abstract").select(F.explode("abstract").alias("s"))
     blocks = sections.select(F.explode("s.paragraphs").alias("p")).select(F.lit("text_block").alias("text_kind"), F.col("p.object_id").alias("key"), F.col("p.text").alias("text"))
-    return evidence.unionByName(blocks).where("text is not null").distinct()
+    return evidence.unionByName(blocks).where("text is not null")
+
+
+def text_classes(spark: SparkSession, folder: str) -> DataFrame:
+    formed, _ = lookalikes.forms(keyed_texts(spark, folder), "text")
+    return lookalikes.look_alike_classes(formed, "text_kind", "key", "text", "form")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of keys whose texts look the same but differ in characters."""
-    formed, _ = lookalikes.forms(keyed_texts(spark, folder), "text")
-    return lookalikes.look_alike_pairs(formed, "text_kind", "key", "text", "form").withColumnRenamed("kind", "text_kind")
+    return lookalikes.look_alike_pairs(text_classes(spark, folder)).withColumnRenamed("kind", "text_kind")
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key with its class of texts that look the same, and the class's size."""
+    rows = text_classes(spark, folder)
+    return rows.select(F.col("kind").alias("text_kind"), "key", *[F.lower(F.hex(c)).alias(c) for c in ("text_id", "class_id")], "n_texts", "n_keys")
 
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every text in its one form."""
     formed, _ = lookalikes.forms(keyed_texts(spark, folder), "text")
-    return formed.select("text_kind", "key", "text", "form")
+    return formed.select("text_kind", "key", "text", "form").distinct()
 
 
 def reference_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +106,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_records": p5_records,
     "p6_found": p6_found,
