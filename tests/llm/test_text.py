@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,11 +33,21 @@ def test_forms_are_stable(text):
 def test_pairs_of_look_alikes(spark):
     rows = [("k", "a", "fine"), ("k", "a", "fine"), ("k", "b", "ﬁne"), ("k", "c", "fine"), ("k", "d", "f​ine"), ("j", "e", "fine"), ("k", "f", None), ("k", None, "ﬁne"), ("k", "g", "")]
     df, table = lookalikes.forms(spark.createDataFrame(rows, "kind string, key string, text string"), "text")
-    got = {tuple(r) for r in lookalikes.look_alike_pairs(df, "kind", "key", "text", "form").collect()}
+    got = {tuple(r) for r in lookalikes.look_alike_pairs(lookalikes.look_alike_classes(df, "kind", "key", "text", "form")).collect()}
     texts = {(k, x): t for k, x, t in rows if x and t is not None}
     form = lookalikes.Rewriter(table)
     want = {(k, a, b) for (k, a), (j, b) in itertools.permutations(texts, 2) if k == j and a < b and texts[k, a] != texts[j, b] and form(texts[k, a]) == form(texts[j, b])}
     assert got == want and len(want) == 5
+    sizes = {(r.kind, r.key): (r.n_texts, r.n_keys) for r in lookalikes.look_alike_classes(df, "kind", "key", "text", "form").collect()}
+    assert sizes["k", "a"] == (3, 4) and sizes["j", "e"] == sizes["k", "g"] == (1, 1) and len(sizes) == 6
+
+
+def test_a_form_of_many_copies_gives_only_its_pairs(spark):
+    df = spark.range(100_000).select(F.lit("k").alias("kind"), F.concat(F.lit("a"), F.col("id")).alias("key"), F.lit("fine").alias("text"), F.lit("fine").alias("form"))
+    odd = spark.createDataFrame([("k", "b", "ﬁne", "fine")], "kind string, key string, text string, form string")
+    classed = lookalikes.look_alike_classes(df.unionByName(odd), "kind", "key", "text", "form")
+    assert classed.select("n_texts", "n_keys").distinct().collect() == [(2, 100_001)]
+    assert lookalikes.look_alike_pairs(classed).count() == 100_000
 
 
 def test_copies_in_both_paths(spark):
@@ -56,9 +67,39 @@ def test_headings(spark):
     rows = [(i, t) for i, t in enumerate(typed)] + [(0, "RESULTS"), (90, None), (91, "  ")]
     got = {r.id: r.name_id for r in headings.map_values(spark.createDataFrame(rows, "id long, t string"), "id", "t", names, "heading_id", "heading", "aliases").collect()}
     assert got == dict(enumerate(typed.values()))
+    parted = {r.id: r.name_id for r in headings.map_values(spark.createDataFrame(rows, "id long, t string"), "id", "t", names, "heading_id", "heading", "aliases", block_names=2).collect()}
+    assert parted == got
     assert headings.map_values(spark.createDataFrame(rows, "id long, t string"), "id", "t", names.limit(0), "heading_id", "heading").where("name_id != -1").count() == 0
 
 
+def test_mentions_among_other_words():
+    m = headings.Matcher([(1, "Summary"), (2, "Reporting summary"), (3, "Competing interests"), (4, "Ethical statement"), (5, "Results")], frozenset(["statement"]))
+    assert {t: m(t) for t in ("Rep. summary", "Reproting summary", "Competing interests statement", "Ethical statement", "Statement", "Results of snow", "Results gathered over nine long winters of snowmelt")} == {
+        "Rep. summary": 2, "Reproting summary": 2, "Competing interests statement": 3, "Ethical statement": 4, "Statement": -1, "Results of snow": 5, "Results gathered over nine long winters of snowmelt": -1,
+    }
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcd", max_size=9), st.text(alphabet="abcd", max_size=9))
+def test_distance_equals_a_plain_table(a, b):
+    d = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            options = [] if i and j else [i + j]
+            if i and j:
+                options = [d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1])]
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    options.append(d[i - 2, j - 2] + 1)
+            d[i, j] = min(options)
+    assert headings.distance(a, b) == d[len(a), len(b)]
+
+
+def test_light_words_are_learnt(spark):
+    rows = [("Results overview",)] * 5 + [("Methods overview",)] * 3 + [("Snow in winter",)] * 40 + [("Results of snow",)] * 4 + [(None,)]
+    names = [(1, "Results"), (2, "Methods")]
+    assert headings.light_words(spark.createDataFrame(rows, "t string"), "t", names) == {"overview"}
+
+
 ITEM = "the rusted auger was dried over lime while a stack of index cards was returned unopened by the bell founder at night"
 
 
@@ -80,13 +121,23 @@ def test_leaks_match_brute_force(spark):
             iw, _ = leaks.words_of(item)
             if w and (leaks.has_run(w, iw) or leaks.errors(iw, w) <= len(iw) // 7):
                 want.add((k, rid))
-    for limit in (500_000, 0):
-        assert {tuple(r) for r in leaks.leaks(d, i, "doc_id", "text", "item_id", "text", broadcast_rows=limit).collect()} == want
+    for chars in (leaks.BLOCK_CHARS, 40):
+        assert {tuple(r) for r in leaks.leaks(d, i, "doc_id", "text", "item_id", "text", block_chars=chars).collect()} == want
     assert 3 < len(want) < 60 and {(3, 1), (4, 1), (5, 1)} <= want
     assert leaks.leaks(d.limit(0), i, "doc_id", "text", "item_id", "text").count() == 0
     assert leaks.leaks(d, i.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_a_shingle_of_every_document_is_no_candidate():
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen".split()
+    held = leaks.Items([(1, " ".join(words)), (2, "one two three alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")])
+    texts = [leaks.words_of(f"one two three common {n}") for n in range(50)] + [leaks.words_of("x " + " ".join(words) + " y")]
+    text, shingle, _ = held.find(texts)
+    held.order(np.bincount(shingle, minlength=held.count))
+    common = held.shingles[0][0]
+    assert common == held.shingles[1][0] and held.prefix_of[common] == [] and held.leaked(texts) == [(50, 1)]
+
+
 def test_automaton_knows_exactly_the_substrings():
     text = "abracadabra"
     moves = languages.suffix_automaton([ord(c) for c in text])
@@ -111,7 +162,8 @@ def test_costs_equal_a_plain_parse():
                     while end < len(piece) and piece[at : end + 1] in source:
                         end += 1
                     n, at = n + 1, end
-            assert model.costs([line])[0, k] == pytest.approx(n * model.bits[k])
+            assert model.costs([line], probe=languages.PIECE)[0, k] == pytest.approx(n * model.bits[k])
+            assert model.costs([line], probe=5, margin=1e9)[0, k] == pytest.approx(n * model.bits[k])
 
 
 def test_language_accuracy_on_held_out_documents(spark, folder):
