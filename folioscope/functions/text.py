@@ -13,25 +13,25 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of words, numbers and scientific tokens.
+# Patterns of words, numbers and scientific tokens.  (?U) makes their classes and boundaries Unicode's.
 WORD = r"[\p{L}\p{N}]+(?:[-\x{2019}'][\p{L}\p{N}]+)*"
-NUMBER = r"(?<![\p{L}\p{N}_.])(?:p\s*[<=>]\s*)?[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?%?"
-FIGURE_OR_TABLE = r"(?i)\b(?:fig(?:ure)?|table)\s*[A-Za-z0-9.-]+"
+NUMBER = r"(?U)(?<![\p{L}\p{N}_.])(?:p\s*[<=>]\s*)?[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?%?"
+FIGURE_OR_TABLE = r"(?U)(?i)\b(?:fig(?:ure)?|table)\s*[A-Za-z0-9.-]+"
 SCIENTIFIC = {
-    "percentage": r"\b\d+(?:\.\d+)?\s?%",
-    "p_value": r"\bp\s*[<=>]\s*\.?\d+(?:\.\d+)?(?:e-?\d+)?",
-    "confidence_interval": r"\b(?:95%\s*)?CI\s*[:=]?\s*[\[(]?[-+]?\d+(?:\.\d+)?\s*[,–-]\s*[-+]?\d+(?:\.\d+)?",
-    "date": r"\b(?:19|20)\d{2}(?:[-/]\d{1,2}(?:[-/]\d{1,2})?)?\b",
-    "accession": r"\b(?:GSE|SRR|ERR|DRR|PRJNA|NCT)\d+\b",
-    "doi": r"\b10\.\d{4,9}/[-._;()/:A-Z0-9]+",
-    "url": r"(?i)https?://[^\s)>]+",
-    "citation": r"(?:\[(?:\d+(?:\s*[-,]\s*\d+)*)\]|\([A-Z][A-Za-z-]+(?:\s+et\s+al\.)?,?\s+(?:19|20)\d{2}\))",
-    "figure_reference": r"\b(?:Fig(?:ure)?\.?)\s*[A-Z]?\d+[A-Za-z]?\b",
-    "table_reference": r"\bTable\s+[A-Z]?\d+[A-Za-z]?\b",
-    "equation": r"(?:[=±×÷]|\b(?:alpha|beta|gamma|delta|theta|lambda)\b)",
-    "reference_identifier": r"\b(?:PMID|ISBN|arXiv)\s*[:#]?\s*[\w./-]+",
-    "gene_protein": r"\b[A-Z][A-Z0-9-]{2,9}\b",
-    "numeric": r"(?<![\w.])[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?(?![\w.])",
+    "percentage": r"(?U)\b\d+(?:\.\d+)?\s?%",
+    "p_value": r"(?U)\bp\s*[<=>]\s*\.?\d+(?:\.\d+)?(?:e-?\d+)?",
+    "confidence_interval": r"(?U)\b(?:95%\s*)?CI\s*[:=]?\s*[\[(]?[-+]?\d+(?:\.\d+)?\s*[,–-]\s*[-+]?\d+(?:\.\d+)?",
+    "date": r"(?U)\b(?:19|20)\d{2}(?:[-/]\d{1,2}(?:[-/]\d{1,2})?)?\b",
+    "accession": r"(?U)\b(?:GSE|SRR|ERR|DRR|PRJNA|NCT)\d+\b",
+    "doi": r"(?U)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+",
+    "url": r"(?U)(?i)https?://[^\s)>]+",
+    "citation": r"(?U)(?:\[(?:\d+(?:\s*[-,]\s*\d+)*)\]|\([A-Z][A-Za-z-]+(?:\s+et\s+al\.)?,?\s+(?:19|20)\d{2}\))",
+    "figure_reference": r"(?U)\b(?:Fig(?:ure)?\.?)\s*[A-Z]?\d+[A-Za-z]?\b",
+    "table_reference": r"(?U)\bTable\s+[A-Z]?\d+[A-Za-z]?\b",
+    "equation": r"(?U)(?:[=±×÷]|\b(?:alpha|beta|gamma|delta|theta|lambda)\b)",
+    "reference_identifier": r"(?U)\b(?:PMID|ISBN|arXiv)\s*[:#]?\s*[\w./-]+",
+    "gene_protein": r"(?U)\b[A-Z][A-Z0-9-]{2,9}\b",
+    "numeric": r"(?U)(?<![\w.])[-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)?(?![\w.])",
 }
 
 
@@ -50,6 +50,16 @@ def nfc(c: Column) -> Column:
     return _series(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))(c)
 
 
+def folded(c: Column) -> Column:
+    """Full case folding; ASCII texts stay in the JVM."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), _series(str.casefold)(c)).otherwise(F.lower(c))
+
+
+def normalized(c: Column) -> Column:
+    """Composed, without LaTeX's escape of the percent sign, white space squeezed."""
+    return squeezed(F.replace(nfc(c), F.lit("\\%"), F.lit("%")))
+
+
 def compat_folded(c: Column) -> Column:
     """Compatibility composition and full case folding."""
     return _series(lambda t: unicodedata.normalize("NFKC", t).casefold())(c)
@@ -66,13 +76,13 @@ def word_count(c: Column) -> Column:
 
 
 def measure(c: Column, unit: Column) -> Column:
-    """Words or characters of a text by unit, null for other units."""
-    return F.when(unit == "words", word_count(c)).when(unit == "characters", F.length(c))
+    """Words (of the composed text) or characters of a text by unit, null for other units."""
+    return F.when(unit == "words", word_count(nfc(c))).when(unit == "characters", F.length(c))
 
 
 def squeezed(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\p{Z}\x1c-\x1f\x85]+", " "))
 
 
 def tokens(c: Column, pattern: str) -> Column:
@@ -105,7 +115,7 @@ def content_fingerprint(c: Column) -> Column:
 
 def visible_text(c: Column) -> Column:
     """The text a page shows: without scripts, navigation, hidden blocks and tags, entities decoded."""
-    # Elements that are not read.
+    # Patterns of the elements that are not read, of hidden blocks and of tags.
     bare = F.regexp_replace(c, r"(?is)<(script|style|noscript|nav|aside)[^>]*>.*?</\1>", " ")
     bare = F.regexp_replace(bare, r"(?is)<[^>]*(?:hidden|display\s*:\s*none)[^>]*>.*?</[^>]+>", " ")
     return squeezed(unescaped(F.regexp_replace(bare, "<[^>]+>", "\n")))

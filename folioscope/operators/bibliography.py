@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 _AUTHOR = r"[^,;.&]+, (?:[A-Z]\.(?:[- ]?[A-Z]\.)*)"
 _LAYOUT = rf"^({_AUTHOR}(?:(?:; |, | & ){_AUTHOR})*)\.? ([^.]+)\. (.+?) (\d+)(?:\((\d+)\))?, ([\p{{L}}\p{{N}}_–-]+) \((\d{{4}})\)\.(?: (?:https?://doi\.org/|doi:\s*)(10\.\d{{4,9}}/\S+))?$"
 _DOI = r"(?i)(?:https?://doi\.org/|doi:\s*)(10\.\d{4,9}/\S+)"
+_NUMBERED = r"^\s*(\d+)\s*[.)]\s+(.+)$"
+_PMID, _ARXIV = r"PMID:\s*(\d+)", r"arXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)"
 _SUPERSCRIPTS = ("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
 MARKER = r"\[\d+(?:\s*[,;–-]\s*\d+)*\]"
 
@@ -19,10 +21,10 @@ def parse(raw: Column) -> Column:
     HIGH: numbered, in the one lossless layout and without other identifiers; MEDIUM: in the
     layout; LOW: kept as it is.  Null for null.
     """
-    number = F.regexp_extract(raw, r"^\s*(\d+)\s*[.)]\s+(.+)$", 1).try_cast("int")
-    body = F.when(number.isNotNull(), F.regexp_extract(raw, r"^\s*(\d+)\s*[.)]\s+(.+)$", 2)).otherwise(raw)
+    number = F.regexp_extract(raw, _NUMBERED, 1).try_cast("int")
+    body = F.when(number.isNotNull(), F.regexp_extract(raw, _NUMBERED, 2)).otherwise(raw)
     part = lambda i: F.nullif(F.regexp_extract(body, _LAYOUT, i), F.lit(""))
-    pmid, arxiv = F.nullif(F.regexp_extract(body, r"PMID:\s*(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(body, r"arXiv:\s*(\d{4}\.\d{4,5}(?:v\d+)?)", 1), F.lit(""))
+    pmid, arxiv = F.nullif(F.regexp_extract(body, _PMID, 1), F.lit("")), F.nullif(F.regexp_extract(body, _ARXIV, 1), F.lit(""))
     fits = body.rlike(_LAYOUT)
     confidence = F.when(fits & (F.coalesce(number, F.lit(0)) > 0) & pmid.isNull() & arxiv.isNull(), "HIGH").when(fits, "MEDIUM").otherwise("LOW")
     return F.when(raw.isNotNull(), F.struct(
@@ -50,10 +52,10 @@ def expand_marker(marker: Column) -> Column:
     """The numbers of a marker such as [1,3-5] or a superscript; null if it is malformed.
 
     Malformed: no number, a range that falls or spans over 1,000, a number below 1 or named twice.
-    Commas and semicolons part the items.
+    Only commas part the items; a marker with semicolons is malformed.
     """
     plain = F.translate(F.translate(marker, _SUPERSCRIPTS[0], _SUPERSCRIPTS[1]), "[] \t", "")
-    items = F.split(plain, "[,;]")
+    items = F.split(plain, ",")
     once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  names a value, so that it is computed once
     bounds = lambda i: once(F.split(i, "[–-]"), lambda p: F.struct(F.when(F.size(p) <= 2, F.get(p, F.lit(0)).try_cast("int")).alias("a"), F.get(p, F.size(p) - 1).try_cast("int").alias("b")))
     good = lambda ends: F.forall(ends, lambda e: F.coalesce((e["a"] >= 1) & (e["b"] >= e["a"]) & (e["b"] - e["a"] <= 1000), F.lit(False)))

@@ -20,6 +20,7 @@ WORDED = (
     ("main_text.max_words", "main_text", "words", r"main text (?:may not exceed|should ideally stay below)\s+(\d[\d,]*)\s+words"),
     ("abstract.max_words", "abstract", "words", r"abstracts are confined to\s+(\d[\d,]*)\s+words"),
 )
+ARTICLE, COVER, SUPPLEMENT, ASKS = "article limits", ("include", "cover letter"), "supplementary information optional|optional supplementary information", "requires|must include"
 STATEMENTS = (
     ("statements.competing_interests.required", "competing_interests", "competing-interest"),
     ("statements.data_availability.required", "data_availability", "data-availability statement"),
@@ -48,14 +49,14 @@ def candidates(df: DataFrame, key: str | list[str], text: str, authority: Column
     def rule(when: Column, rule_id: str, target: str, op: str, value: Column, unit: str | None, mode: str = "ALWAYS") -> Column:
         return F.when(when, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(target).alias("target"), F.lit(op).alias("operator"), value.alias("value"), F.lit(unit).cast("string").alias("unit"), F.lit(mode).alias("mode")))
 
-    found = [rule(F.contains(low, F.lit("article limits")), "identity.article_type", "article_type", "EQ", F.lit("Article"), None)]
+    found = [rule(F.contains(low, F.lit(ARTICLE)), "identity.article_type", "article_type", "EQ", F.lit("Article"), None)]
     for rule_id, target, unit, pattern in limits:
         value = F.regexp_replace(F.regexp_extract(low, pattern, 1), ",", "")
         found.append(rule(value != "", rule_id, target, "LTE", value, unit, "CONDITIONAL" if target == "extended_data" else "ALWAYS"))
-    found.append(rule(F.contains(low, F.lit("include")) & F.contains(low, F.lit("cover letter")), "cover_letter.required", "cover_letter", "EXISTS", F.lit("true"), None))
-    found.append(rule(low.rlike("supplementary information optional|optional supplementary information"), "supplement.allowed", "supplementary_information", "EXISTS", F.lit("OPTIONAL"), None))
+    found.append(rule(F.contains(low, F.lit(COVER[0])) & F.contains(low, F.lit(COVER[1])), "cover_letter.required", "cover_letter", "EXISTS", F.lit("true"), None))
+    found.append(rule(low.rlike(SUPPLEMENT), "supplement.allowed", "supplementary_information", "EXISTS", F.lit("OPTIONAL"), None))
     for rule_id, target, token in STATEMENTS:
-        found.append(rule(F.contains(low, F.lit(token)) & low.rlike("requires|must include"), rule_id, target, "EXISTS", F.lit("true"), None))
+        found.append(rule(F.contains(low, F.lit(token)) & low.rlike(ASKS), rule_id, target, "EXISTS", F.lit("true"), None))
     rows = df if authority is None else df.where(authority <= OFFICIAL)
     return rows.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("r")).select(*keys, "r.*").distinct()
 
@@ -82,12 +83,9 @@ def review(found: DataFrame, evidence: DataFrame, clashing: DataFrame, key: list
 
 
 def official(url: Column, relationship: Column, hosts: tuple[str, ...], relationships: tuple[str, ...]) -> Column:
-    """Whether a source is official: https, no user in the address, a listed host or a part of one."""
+    """Whether a source is official: https, no user in the address, exactly a listed host, a listed relationship."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    known = F.lit(False)
-    for h in hosts:
-        known = known | (host == h) | F.endswith(host, F.lit(f".{h}"))
-    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("USERINFO")).isNull() & known & relationship.isin(*relationships), F.lit(False))
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & F.try_parse_url(url, F.lit("USERINFO")).isNull() & host.isin(*hosts) & relationship.isin(*relationships), F.lit(False))
 
 
 def retrieval_status(code: Column, mime: Column, content: Column, is_official: Column) -> Column:

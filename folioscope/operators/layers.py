@@ -29,6 +29,13 @@ def ancestors(links: DataFrame) -> DataFrame:
     return out
 
 
+def cycles(links: DataFrame) -> DataFrame:
+    """(node): nodes that descend from themselves.  links: child, parent, nulls ignored."""
+    own = links.select("child", "parent").where("child is not null and parent is not null").distinct()
+    back = ancestors(own).select(F.col("root").alias("parent"), F.col("node").alias("child"))
+    return own.join(back, ["child", "parent"], "left_semi").select(F.col("child").alias("node")).distinct()
+
+
 def resolve(candidates: DataFrame) -> DataFrame:
     """Per (root, rule_id): the winning candidate, its class, and whether it takes effect.
 

@@ -242,14 +242,14 @@ def walk(graph: Graph, own: set[str], edge: Edge, value: object, with_attrs: boo
                     each = obj if isinstance(obj, list) else [obj]
                     first = next((o for o in each if isinstance(o, dict)), None)
                     if with_attrs and (more := [o for o in each if o is not first and o is not None]):
-                        attrs.append((f"{prefix}more", json.dumps(more, ensure_ascii=False)))
+                        attrs.append((f"{prefix}more", json.dumps(more, ensure_ascii=False, separators=(",", ":"))))
                     obj = first
                 if not isinstance(obj, dict):
                     continue
                 if with_attrs:
                     for f in graph.fields[element]:
                         if (a := obj.get(f)) is not None:
-                            attrs.append((prefix + f, a if isinstance(a, str) else json.dumps(a, ensure_ascii=False)))
+                            attrs.append((prefix + f, a if isinstance(a, str) else json.dumps(a, ensure_ascii=False, separators=(",", ":"))))
                 for f in graph.out(element):
                     if f.child in own:
                         if obj.get(f.name) is not None:
@@ -351,7 +351,11 @@ def shred_map(df: DataFrame, id_col: str, map_col: str, relation: str, parent_re
     return rows.select(_node(F.col("_id"), relation, parent_relation, F.lit("root"), F.col("_k"), F.lit(None), {"name": F.col("_k"), "value": F.col("_v")}))
 
 
-def relation_table(nodes: DataFrame, relation: Relation, **types: str) -> DataFrame:
-    """One table of the shredded nodes: keys, its parent's key and its columns, cast as given."""
-    columns = [F.col("attrs")[c].try_cast(types.get(c, "string")).alias(c) for c in relation.columns]
+def relation_table(nodes: DataFrame, relation: Relation, bare: str | None = None, **types: str) -> DataFrame:
+    """One table of the shredded nodes: keys, its parent's key and its columns, cast as given.
+
+    bare: the column that the text of a node which is a mere string goes to.
+    """
+    value = lambda c: F.coalesce(F.col("attrs")[c], F.col("attrs")["_text"]) if c == bare else F.col("attrs")[c]
+    columns = [value(c).try_cast(types.get(c, "string")).alias(c) for c in relation.columns]
     return nodes.where(F.col("relation") == relation.element).select("record_id", "node_path", "parent_relation", "parent_path", "ordinal", *columns)

@@ -22,8 +22,14 @@ def file_kind(name: Column) -> Column:
 
 
 def safe_path(path: Column) -> Column:
-    """Whether a relative path stays inside its root: not absolute, no empty, . or .. part, no odd sign."""
-    return F.coalesce(~path.rlike(r"^([/\\]|[A-Za-z]:)") & F.forall(F.split(path, "/"), lambda p: p.rlike(r"^[\w][\w .()+-]*$") & ~p.isin(".", "..")), F.lit(False))
+    """Whether a relative path stays inside its root: not absolute, no part .., only plain signs in each part.
+
+    Empty and . parts don't count, but something must be left.
+    """
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    # Fixed value: what a part may be.
+    plain = F.forall(parts, lambda p: p.rlike(r"^[A-Za-z0-9][A-Za-z0-9._ -]*\z"))
+    return F.coalesce(~F.startswith(path, F.lit("/")) & (F.size(parts) > 0) & plain, F.lit(False))
 
 
 def gaps(files: DataFrame, required: DataFrame, group: str) -> DataFrame:

@@ -78,19 +78,19 @@ def gate(scopes: tuple[str, ...]) -> Column:
     )
 
 
-def findings(rules: DataFrame, facts: DataFrame, subject: str, scopes: tuple[str, ...]) -> DataFrame:
+def findings(rules: DataFrame, facts: DataFrame, subject: str, scopes: tuple[str, ...], also: tuple[str, ...] = ()) -> DataFrame:
     """One row per rule of a subject: its finding status.
 
     rules: subject, target, operator, rule_value, severity, status, applicability_mode,
     machine_checkable, evaluation_scope and any more; facts: subject, target, cur_kind, cur_num,
-    cur_str, cur_list.  A rule without its fact, or whose types don't fit, is an EVALUATION_ERROR.
+    cur_str, cur_list; also: more columns that rule and fact must agree in, as the unit.  A rule without its fact, or whose types don't fit, is an EVALUATION_ERROR.
     """
     gated = rules.withColumn("_gate", gate(scopes))
     settled = gated.where("_gate is not null").withColumn("finding_status", F.col("_gate"))
     open_rules = gated.where("_gate is null").select("*", *typed_value(F.col("rule_value"), "exp"))
     passed = evaluate(F.col("operator"))
     status = F.when(F.col("cur_kind").isNull() | passed.isNull(), "EVALUATION_ERROR").when(passed, "PASS").when(F.col("severity") == "BLOCKING", "BLOCKED").otherwise("WARNING")
-    judged = open_rules.join(facts, [subject, "target"], "left").withColumn("finding_status", status)
+    judged = open_rules.join(facts, [subject, "target", *also], "left").withColumn("finding_status", status)
     return settled.drop("_gate").unionByName(judged.select(*settled.drop("_gate").columns))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
-from folioscope.session import spread
 
 
 def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,17 +34,20 @@ def fingerprint(df: DataFrame, keys: list[str], order: list[str], value: Column)
 
 
 def scientific_diff(df: DataFrame, before: Column, after: Column, *keys: str) -> DataFrame:
-    """Per row and token category the changed tokens, and whether any changed; null texts are empty."""
-    a, b = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    """Per row and token category the changed tokens, and whether any changed; null texts are empty.
+
+    Patterns are matched only where the texts differ at all.
+    """
+    rows = df.select(*keys, F.coalesce(before, F.lit("")).alias("_a"), F.coalesce(after, F.lit("")).alias("_b"))
     # Tokens are columns of their own first, so that no pattern is matched twice.
-    found = spread(df.select(*keys, a.alias("_a"), b.alias("_b")))
-    a, b = F.col("_a"), F.col("_b")
-    found = found.select(*keys, *[T.tokens(c, p).alias(f"{side}_{n}") for n, p in T.SCIENTIFIC.items() for side, c in (("a", a), ("b", b))])
-    same = F.lit(True)
+    differ = F.col("_a") != F.col("_b")
+    none = F.expr("cast(array() as array<string>)")
+    found = rows.select(*keys, *[F.when(differ, T.tokens(F.col(f"_{side}"), p)).otherwise(none).alias(f"{side}_{n}") for n, p in T.SCIENTIFIC.items() for side in "ab"])
+    changed = found.select(*keys, *[T.changed_tokens(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(n) for n in T.SCIENTIFIC])
+    safe = F.lit(True)
     for n in T.SCIENTIFIC:
-        same = same & (F.array_sort(F.array_distinct(f"a_{n}")) == F.array_sort(F.array_distinct(f"b_{n}")))
-    changed = [T.changed_tokens(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(n) for n in T.SCIENTIFIC]
-    return found.select(*keys, *changed, F.when(same, "SAFE").otherwise("REVIEW_REQUIRED").alias("diff_status"))
+        safe = safe & (F.size(n) == 0)
+    return changed.withColumn("diff_status", F.when(safe, "SAFE").otherwise("REVIEW_REQUIRED"))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -11,7 +11,6 @@ from folioscope.operators import guidelines as G
 from folioscope.operators import layers, packaging, rules, structure, verify
 from folioscope.operators.orphans import clean_key
 from folioscope.plans.data import manuscript_nodes
-from folioscope.session import spread
 from folioscope.sources.tables import table
 
 #: Scopes that rules can be evaluated in.
@@ -31,6 +30,28 @@ def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.select("record_id", "node_path", F.coalesce(F.col("attrs")["text"], F.col("attrs")["_text"]).alias("text"))
 
 
+def _preorder(path: Column) -> Column:
+    """A node's path as numbers, so that sorting by it is preorder: a section, its paragraphs, its subsections."""
+    return F.transform(F.split(path, r"\."), lambda x: F.struct(F.substring(x, 1, 1).alias("l"), F.substring(x, 2, 18).cast("long").alias("i")))
+
+
+def manuscript_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_id, part, place, text): all texts of a record in order: title, abstract and body with their
+    headings, references; normalised, blank ones left out."""
+    m = table(spark, folder, "manuscripts", "record_id", "manuscript_id", "title")
+    one = lambda letter, i: F.array(F.struct(F.lit(letter).alias("l"), i.cast("long").alias("i")))
+    nodes = manuscript_nodes(spark, folder, ("section", "paragraph"))
+    own = F.when(F.col("relation") == "section", F.col("attrs")["title"]).otherwise(F.coalesce(F.col("attrs")["text"], F.col("attrs")["_text"]))
+    part = F.when(F.startswith("node_path", F.lit("a")), 1).otherwise(2)
+    refs = table(spark, folder, "bib_references", "manuscript_id", "ref_key", "raw_text", "deleted_at").where("deleted_at is null")
+    rows = (
+        m.select("record_id", F.lit(0).alias("part"), one("t", F.lit(0)).alias("place"), F.col("title").alias("text"))
+        .unionByName(nodes.select("record_id", part.alias("part"), _preorder(F.col("node_path")).alias("place"), own.alias("text")))
+        .unionByName(m.join(refs, "manuscript_id").select("record_id", F.lit(3).alias("part"), one("r", F.col("ref_key")).alias("place"), F.col("raw_text").alias("text")))
+    )
+    return rows.withColumn("text", T.normalized(F.col("text"))).where("text != ''")
+
+
 def outline(spark: SparkSession, folder: str) -> DataFrame:
     """Top sections of each manuscript's body, in order: bounded by one record."""
     nodes = manuscript_nodes(spark, folder, ("section",)).where("parent_path = 'root' and not startswith(node_path, 'a')")
@@ -47,40 +68,59 @@ def latest_manuscripts(spark: SparkSession, folder: str) -> DataFrame:
     return m.join(best, "record_id", "left_semi")
 
 
-def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """(manuscript_id, target, cur_kind, cur_num, cur_str, cur_list): what is measured of each manuscript."""
-    m = latest_manuscripts(spark, folder)
-    texts = F.flatten(F.transform(F.coalesce("abstract", F.expr("array()")), lambda s: F.coalesce(s["paragraphs"], F.expr("array()"))))
-    words = F.aggregate(F.transform(texts, lambda p: F.coalesce(T.word_count(p["text"]), F.lit(0))), F.lit(0), lambda a, b: a + b)
-    body = paragraphs(spark, folder).groupBy("record_id").agg(F.sum(F.coalesce(T.word_count(F.col("text")), F.lit(0))).alias("n"))
-    refs = table(spark, folder, "bib_references", "manuscript_id", "reference_id", "deleted_at").where("deleted_at is null").groupBy("manuscript_id").agg(F.countDistinct("reference_id").alias("n"))
-
-    def num(df: DataFrame, target: str, value: Column) -> DataFrame:
-        kind = F.when(value.isNull(), "none").otherwise("num")
-        return df.select("manuscript_id", F.lit(target).alias("target"), kind.alias("cur_kind"), value.cast("double").alias("cur_num"), F.lit(None).cast("string").alias("cur_str"))
+#: Targets that are measured in the rule's unit.
+TEXTS = ("title", "abstract", "main_text")
 
-    def text(df: DataFrame, target: Column, value: Column) -> DataFrame:
-        kind = F.when(value.isNull(), "none").otherwise("str")
-        return df.select("manuscript_id", target.alias("target"), kind.alias("cur_kind"), F.lit(None).cast("double").alias("cur_num"), value.alias("cur_str"))
 
-    statements = m.select("manuscript_id", F.explode("statements").alias("k", "v"))
-    parts = (
-        num(m, "title", T.word_count(F.col("title"))).unionByName(text(m, F.lit("article_type"), F.col("article_type"))).unionByName(num(m, "abstract", words))
-        .unionByName(num(m.select("manuscript_id", "record_id").join(body, "record_id"), "main_text", F.col("n"))).unionByName(num(refs, "references", F.col("n")))
-        .unionByName(text(statements, F.concat(F.lit("statements."), F.col("k")), F.col("v")))
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """(manuscript_id, target, fact_unit, cur_kind, cur_num, cur_str, cur_list): what is measured of each
+    manuscript.  Texts are measured in words and characters; a missing title, abstract or body is no
+    fact.  No table here holds figures, tables or supplements, so their lists are empty."""
+    m = latest_manuscripts(spark, folder)
+    nodes = manuscript_nodes(spark, folder, ("section", "paragraph"))
+    text = F.when(F.col("relation") == "paragraph", F.coalesce(F.col("attrs")["text"], F.col("attrs")["_text"]))
+    nodes = nodes.select("record_id", F.when(F.startswith("node_path", F.lit("a")), "abstract").otherwise("main_text").alias("target"), text.alias("text"))
+    # The text is the paragraphs, one to a line.
+    sized = nodes.groupBy("record_id", "target").agg(
+        F.sum(F.coalesce(T.measure(F.col("text"), F.lit("words")), F.lit(0))).alias("words"), (F.sum(F.coalesce(F.length("text"), F.lit(0))) + F.greatest(F.count("text") - 1, F.lit(0))).alias("characters")
     )
-    return parts.withColumn("cur_list", F.lit(None).cast("array<string>"))
+    sized = m.select("manuscript_id", "record_id").join(sized, "record_id").select("manuscript_id", "target", "words", "characters")
+    titles = m.where(F.trim("title") != "").select("manuscript_id", F.lit("title").alias("target"), T.measure(F.col("title"), F.lit("words")).alias("words"), F.length("title").alias("characters"), "title")
+    refs = table(spark, folder, "bib_references", "manuscript_id", "reference_id", "deleted_at").where("deleted_at is null").groupBy("manuscript_id").agg(F.countDistinct("reference_id").alias("n"))
+    named = labelled(spark, folder).where("section is not null").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "section"))), lambda x: F.initcap(F.replace(x["section"], F.lit("_"), F.lit(" ")))).alias("names"))
+    order = m.select("manuscript_id", "record_id").join(named, "record_id", "left").select("manuscript_id", F.coalesce("names", F.expr("cast(array() as array<string>)")).alias("names"))
+    units = lambda df: df.select("manuscript_id", "target", F.explode(F.create_map(F.lit("words"), F.col("words").cast("double"), F.lit("characters"), F.col("characters").cast("double"))).alias("fact_unit", "v"))
+
+    def fact(df: DataFrame, target: Column, unit: Column, kind: str, value: Column) -> DataFrame:
+        as_num, as_str, as_list = (value if k == kind or (k, kind) == ("num", "bool") else F.lit(None) for k in ("num", "str", "list"))
+        return df.select(
+            "manuscript_id", target.alias("target"), unit.alias("fact_unit"), F.when(value.isNull(), "none").otherwise(kind).alias("cur_kind"), as_num.cast("double").alias("cur_num"), as_str.cast("string").alias("cur_str"),
+            as_list.cast("array<string>").alias("cur_list"),
+        )
+
+    any_unit, statements = F.lit("any"), m.select("manuscript_id", F.explode("statements").alias("k", "v"))
+    parts = [
+        fact(units(sized), F.col("target"), F.col("fact_unit"), "num", F.col("v")), fact(units(titles), F.col("target"), F.col("fact_unit"), "num", F.col("v")), fact(titles, F.lit("title"), F.lit("text"), "str", F.col("title")),
+        fact(m, F.lit("article_type"), any_unit, "str", F.col("article_type")), fact(refs, F.lit("references"), any_unit, "num", F.col("n")), fact(order, F.lit("section_order"), any_unit, "list", F.col("names")),
+        fact(m, F.lit("figures_and_tables"), any_unit, "num", F.lit(0)), fact(m, F.lit("figure_files"), any_unit, "bool", F.lit(1)), fact(m, F.lit("supplementary_information"), any_unit, "bool", F.lit(0)),
+        fact(statements, F.concat(F.lit("statements."), F.col("k")), any_unit, "str", F.col("v")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def unique_rules(spark: SparkSession, folder: str) -> DataFrame:
     """One rule per layer, version and rule_id: the one recorded last."""
     r = table(spark, folder, "profile_rules").withColumn("layer", clean_key(F.col("profile_id"))).where("layer is not null")
-    return r.groupBy("layer", "profile_version", "rule_id").agg(F.max_by(F.struct("rule_key", "target", "operator", "rule_value", "severity", "machine_checkable", "status", "applicability_mode", "critical_for_readiness", "evaluation_scope"), F.struct("recorded_at", "rule_key")).alias("r")).select("layer", "profile_version", "rule_id", "r.*")
+    return r.groupBy("layer", "profile_version", "rule_id").agg(F.max_by(F.struct("rule_key", "target", "operator", "rule_value", "unit", "severity", "machine_checkable", "status", "applicability_mode", "critical_for_readiness", "evaluation_scope"), F.struct("recorded_at", "rule_key")).alias("r")).select("layer", "profile_version", "rule_id", "r.*")
 
 
 def audit(spark: SparkSession, folder: str) -> DataFrame:
     reports = table(spark, folder, "verification_reports", "report_id", "manuscript_id", "profile_id", "profile_version").distinct().withColumn("layer", clean_key(F.col("profile_id"))).drop("profile_id")
-    return rules.findings(reports.join(unique_rules(spark, folder), ["layer", "profile_version"]), facts(spark, folder), "manuscript_id", SCOPES)
+    asked = F.when(F.col("target").isin(*TEXTS), F.when(F.col("unit").isin("words", "characters"), F.col("unit")).otherwise("text")).otherwise("any")
+    return rules.findings(reports.join(unique_rules(spark, folder).withColumn("fact_unit", asked), ["layer", "profile_version"]), facts(spark, folder), "manuscript_id", SCOPES, ("fact_unit",))
 
 
 def audit_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +163,7 @@ def content_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def number_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents", "doc_id", "text")
+    d = table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.normalized(F.col("text")).alias("text"))
     return d.select("doc_id", F.size(T.tokens(F.col("text"), T.NUMBER)).alias("n_numbers"), F.size(T.tokens(F.col("text"), T.FIGURE_OR_TABLE)).alias("n_figures"), T.multiset(T.tokens(F.col("text"), r"\[\d+(?:\s*[-,]\s*\d+)*\]")).alias("citations"))
 
 
@@ -133,30 +173,31 @@ def heading_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cited(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "citations", "citation_id", "reference_ids")
-    return c.select(F.explode("reference_ids").alias("r")).select(clean_key(F.col("r")).alias("reference_id"))
+    c = table(spark, folder, "citations", "manuscript_id", "reference_ids")
+    return c.select("manuscript_id", F.explode("reference_ids").alias("r")).select("manuscript_id", clean_key(F.col("r")).alias("reference_id"))
 
 
 def known_references(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "bib_references", "reference_id").select(clean_key(F.col("reference_id")).alias("reference_id"))
+    return table(spark, folder, "bib_references", "manuscript_id", "reference_id").select("manuscript_id", clean_key(F.col("reference_id")).alias("reference_id"))
 
 
 def citation_missing_reference(spark: SparkSession, folder: str) -> DataFrame:
-    return verify.missing(cited(spark, folder), known_references(spark, folder), ["reference_id"])
+    """References that a manuscript cites and its own bibliography hasn't."""
+    return verify.missing(cited(spark, folder), known_references(spark, folder), ["manuscript_id", "reference_id"])
 
 
 def uncited_reference(spark: SparkSession, folder: str) -> DataFrame:
-    return verify.missing(known_references(spark, folder), cited(spark, folder), ["reference_id"])
+    return verify.missing(known_references(spark, folder), cited(spark, folder), ["manuscript_id", "reference_id"])
 
 
 def duplicate_reference(spark: SparkSession, folder: str) -> DataFrame:
     b = table(spark, folder, "bib_references", "manuscript_id", "ref_key", "raw_text")
-    return verify.repeated(b, ["manuscript_id"], F.lower(T.squeezed(F.col("raw_text"))), "ref_key")
+    return verify.repeated(b, ["manuscript_id"], T.squeezed(T.folded(F.col("raw_text"))), "ref_key")
 
 
 def duplicate_doi(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "bib_references", "ref_key", "doi")
-    return verify.repeated(b, [], F.regexp_replace(F.lower(F.trim("doi")), "^https://doi\\.org/", ""), "ref_key")
+    b = table(spark, folder, "bib_references", "manuscript_id", "ref_key", "doi")
+    return verify.repeated(b, ["manuscript_id"], F.regexp_replace(T.folded(F.col("doi")), "^https://doi\\.org/", ""), "ref_key")
 
 
 def incomplete_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,6 +218,11 @@ def layer_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     return layers.ancestors(profile_links(spark, folder))
 
 
+def layer_cycles(spark: SparkSession, folder: str) -> DataFrame:
+    """Layers that descend from themselves."""
+    return layers.cycles(profile_links(spark, folder))
+
+
 def layer_rows(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "profiles").withColumn("layer", clean_key(F.col("profile_id"))).where("layer is not null")
     return p.groupBy("layer", F.col("profile_version").alias("version")).agg(F.max_by(F.struct("profile_kind", "precedence", "status", "last_verified_at", "freshness_window_days"), F.struct("received_at", "profile_key")).alias("p")).select("layer", "version", "p.*")
@@ -221,12 +267,12 @@ def layer_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fingerprint_digest(spark: SparkSession, folder: str) -> DataFrame:
-    return verify.fingerprint(paragraphs(spark, folder), ["record_id"], ["node_path"], F.col("text"))
+    return verify.fingerprint(manuscript_texts(spark, folder), ["record_id"], ["part", "place"], F.col("text"))
 
 
 def numbers_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    p = paragraphs(spark, folder).select("record_id", "node_path", F.posexplode(T.tokens(F.col("text"), T.NUMBER)).alias("k", "v"))
-    return verify.fingerprint(p, ["record_id"], ["node_path", "k"], F.col("v"))
+    p = manuscript_texts(spark, folder).select("record_id", "part", "place", F.posexplode(T.tokens(F.col("text"), T.NUMBER)).alias("k", "v"))
+    return verify.fingerprint(p, ["record_id"], ["part", "place", "k"], F.replace("v", F.lit(" "), F.lit("")))
 
 
 def scientific_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,7 +281,7 @@ def scientific_diff(spark: SparkSession, folder: str) -> DataFrame:
     whole = lambda c: F.col(c).cast("int").cast("string")
     sentence = lambda c: F.concat(F.lit("n = "), whole("l_quantity"), F.lit(", "), F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("% (p < 0.0"), F.col("l_linenumber").cast("string"), F.lit("), Figure "), F.col("l_linenumber").cast("string"), F.lit(" ["), F.col("l_partkey").cast("string"), F.lit("]"))
     out = verify.scientific_diff(line, sentence("l_discount"), sentence("l_tax"), "l_orderkey", "l_linenumber")
-    return out.select("l_orderkey", "l_linenumber", "percentage", "p_value", "citation", "figure_reference", "diff_status")
+    return out.select("l_orderkey", "l_linenumber", "percentage", "p_value", "citation", "figure_reference", "numeric", "diff_status")
 
 
 def multiset_preservation(spark: SparkSession, folder: str) -> DataFrame:
@@ -296,14 +342,14 @@ def section_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numbered_headings(spark: SparkSession, folder: str) -> DataFrame:
-    """Headings with numbers of their own (from positions), accepted in sequence."""
-    df = outline(spark, folder).withColumn("t", F.concat((F.col("seq") + 1 + (F.col("seq") > 2).cast("int") * (F.col("record_id") % 2).cast("int")).cast("string"), F.lit(" "), F.coalesce("title", F.lit("x"))))
-    lists = df.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"]).alias("h"))
-    return lists.select("record_id", F.size("h").alias("n_headings"), F.size(structure.numbered(F.col("h"))).alias("n_accepted"))
+    """Headings as typed in each manuscript's outline, and those whose numbers follow in sequence."""
+    df = table(spark, folder, "outline_entries", "entry_id", "manuscript_id", "seq", "title").where("manuscript_id is not null").distinct()
+    lists = df.groupBy("manuscript_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry_id", "title"))), lambda x: x["title"]).alias("h"))
+    return lists.select("manuscript_id", F.size("h").alias("n_headings"), F.size(structure.numbered(F.col("h"))).alias("n_accepted"))
 
 
 def citation_expand(spark: SparkSession, folder: str) -> DataFrame:
-    c = spread(table(spark, folder, "citations", "citation_id", "raw_text").distinct())
+    c = table(spark, folder, "citations", "citation_id", "raw_text").distinct()
     v = B.expand_marker(F.col("raw_text"))
     return c.select("citation_id", F.array_sort(v).alias("numbers"))
 
@@ -344,22 +390,21 @@ def extracted_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules that the segments of each guideline document state, with the document's source; a segment that
-    is repeated in a document counts once, where it first stands."""
+    """Rules that the segments of each guideline document state; a segment that is repeated in a document
+    counts once, where it first stands."""
     found = G.candidates(evidence_segments(spark, folder), ["doc_id", "seq", "segment_hash"], "segment")
-    once = found.groupBy(*[c for c in found.columns if c != "seq"]).agg(F.min("seq").alias("seq"))
-    return once.join(guideline_texts(spark, folder).select("doc_id", "source"), "doc_id")
+    return found.groupBy(*[c for c in found.columns if c != "seq"]).agg(F.min("seq").alias("seq"))
 
 
 def candidate_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    return G.conflicts(document_rules(spark, folder), ["source"], ["doc_id", "seq"])
+    return G.conflicts(document_rules(spark, folder), [], ["doc_id", "seq"])
 
 
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     """Each candidate (a rule as a segment states it) with its review, against its own segment."""
     found = document_rules(spark, folder)
-    clashing = G.conflicts(found, ["source"], ["doc_id", "seq"])
-    return G.review(found, evidence_segments(spark, folder), clashing, ["doc_id", "seq"], "segment", ["source"]).select("doc_id", "seq", "rule_id", "value", "review")
+    clashing = G.conflicts(found, [], ["doc_id", "seq"])
+    return G.review(found, evidence_segments(spark, folder), clashing, ["doc_id", "seq"], "segment", []).select("doc_id", "seq", "rule_id", "value", "review")
 
 
 def curated_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -380,8 +425,10 @@ def extraction_f1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "source_records", "source_path", "owner").distinct()
-    return s.select(packaging.file_kind(F.col("source_path")).alias("kind"), packaging.safe_path(F.col("source_path")).alias("safe")).groupBy("kind", "safe").agg(F.count("*").alias("n"))
+    """Paths of sources and, as names of files, headings as typed: kind and whether they are safe."""
+    s = table(spark, folder, "source_records", "source_path").select(F.col("source_path").alias("name"))
+    rows = s.unionByName(table(spark, folder, "outline_entries", "title").select(F.col("title").alias("name"))).where("name is not null")
+    return rows.select(packaging.file_kind(F.col("name")).alias("kind"), packaging.safe_path(F.col("name")).alias("safe")).groupBy("kind", "safe").agg(F.count("*").alias("n"))
 
 
 def requirement_gaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -413,7 +460,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_findings, audit_summary, audit_coverage, audit_rollup, operator_matrix, text_measures, content_groups, number_tokens, heading_sections, citation_missing_reference, uncited_reference, duplicate_reference,
-        duplicate_doi, incomplete_records, layer_ancestors, resolve_layers, resolution_classes, resolved_status, provenance_issues, layer_issues, fingerprint_digest, numbers_fingerprint, scientific_diff, multiset_preservation,
+        duplicate_doi, incomplete_records, layer_ancestors, layer_cycles, resolve_layers, resolution_classes, resolved_status, provenance_issues, layer_issues, fingerprint_digest, numbers_fingerprint, scientific_diff, multiset_preservation,
         compliance_delta, plan_log_reconcile, verification_rollup, block_intervals, block_membership, section_order_check, section_reorder, stable_ids, section_pairs, section_neighbours, numbered_headings, citation_expand,
         citation_linkage, reference_roundtrip, visible_text, evidence_segments, extracted_rules, candidate_conflicts, review_queue, curated_diff, extraction_f1, file_kinds, requirement_gaps, manifest_check, coverage_ratio,
         session_transitions,

@@ -28,23 +28,25 @@ _RULES = f"""
 unique_rules AS (
   SELECT layer, profile_version, rule_id, r.* FROM (
     SELECT {_key("profile_id")} AS layer, profile_version, rule_id,
-      arg_max({{'rule_key': rule_key, 'target': target, 'operator': operator, 'rule_value': rule_value, 'severity': severity, 'machine_checkable': machine_checkable, 'status': status,
+      arg_max({{'rule_key': rule_key, 'target': target, 'operator': operator, 'rule_value': rule_value, 'unit': unit, 'severity': severity, 'machine_checkable': machine_checkable, 'status': status,
         'applicability_mode': applicability_mode, 'critical_for_readiness': critical_for_readiness, 'evaluation_scope': evaluation_scope}}, (recorded_at, rule_key)) AS r
     FROM profile_rules GROUP BY ALL) WHERE layer IS NOT NULL)
 """
 _AUDIT = f"""
 {_PARAS},
 latest AS (SELECT * FROM manuscripts QUALIFY row_number() OVER (PARTITION BY manuscript_id ORDER BY received_at DESC, record_id DESC) = 1),
-front_words AS (SELECT record_id, sum(n) AS n FROM (SELECT record_id, {_words("v.text")} AS n FROM texts) GROUP BY ALL),
-body_words AS (SELECT record_id, sum(coalesce({_words("text")}, 0)) AS n FROM paras GROUP BY ALL),
+front_size AS (SELECT front.record_id, sum(coalesce({_words("t.v.text")}, 0)) AS w, sum(coalesce(length(t.v.text), 0)) + greatest(count(t.v.text) - 1, 0) AS c FROM front LEFT JOIN texts t ON t.record_id = front.record_id AND t.parent_path = front.node_path GROUP BY ALL),
+body_size AS (SELECT t.record_id AS record_id, sum(coalesce({_words("p.text")}, 0)) AS w, sum(coalesce(length(p.text), 0)) + greatest(count(p.text) - 1, 0) AS c FROM tree t LEFT JOIN paras p ON p.record_id = t.record_id AND p.node_path = t.node_path GROUP BY ALL),
+sizes AS (SELECT record_id, 'abstract' AS target, w, c FROM front_size UNION ALL SELECT record_id, 'main_text', w, c FROM body_size UNION ALL SELECT record_id, 'title', {_words("title")}, length(title) FROM manuscripts WHERE trim(title) <> ''),
 refs AS (SELECT manuscript_id, count(DISTINCT reference_id) AS n FROM bib_references WHERE deleted_at IS NULL GROUP BY ALL),
 facts AS (
-  SELECT manuscript_id, 'title' AS target, CAST({_words("title")} AS DOUBLE) AS num, NULL AS str FROM latest
-  UNION ALL SELECT manuscript_id, 'article_type', NULL, article_type FROM latest
-  UNION ALL SELECT manuscript_id, 'abstract', coalesce(n, 0), NULL FROM latest LEFT JOIN front_words USING (record_id)
-  UNION ALL SELECT manuscript_id, 'main_text', n, NULL FROM latest JOIN body_words USING (record_id)
-  UNION ALL SELECT manuscript_id, 'references', n, NULL FROM refs
-  UNION ALL SELECT manuscript_id, 'statements.' || e.key, NULL, e.value FROM (SELECT manuscript_id, unnest(map_entries(statements)) AS e FROM latest)),
+  SELECT manuscript_id, target, 'words' AS unit, 'num' AS kind, CAST(w AS DOUBLE) AS num, NULL AS str FROM latest JOIN sizes USING (record_id)
+  UNION ALL SELECT manuscript_id, target, 'characters', 'num', CAST(c AS DOUBLE), NULL FROM latest JOIN sizes USING (record_id)
+  UNION ALL SELECT manuscript_id, 'title', 'text', 'str', NULL, title FROM latest WHERE trim(title) <> ''
+  UNION ALL SELECT manuscript_id, 'article_type', 'any', CASE WHEN article_type IS NULL THEN 'none' ELSE 'str' END, NULL, article_type FROM latest
+  UNION ALL SELECT manuscript_id, 'references', 'any', 'num', n, NULL FROM refs
+  UNION ALL SELECT manuscript_id, unnest(['figures_and_tables', 'figure_files', 'supplementary_information', 'section_order']), 'any', unnest(['num', 'bool', 'bool', 'list']), unnest([0, 1, 0, NULL]), NULL FROM latest
+  UNION ALL SELECT manuscript_id, 'statements.' || e.key, 'any', CASE WHEN e.value IS NULL THEN 'none' ELSE 'str' END, NULL, e.value FROM (SELECT manuscript_id, unnest(map_entries(statements)) AS e FROM latest)),
 {_RULES},
 reports AS (SELECT DISTINCT report_id, manuscript_id, {_key("profile_id")} AS layer, profile_version FROM verification_reports),
 audit AS (
@@ -57,10 +59,10 @@ audit AS (
   FROM (
     SELECT a.*, f.target, CASE operator
       WHEN 'LTE' THEN CASE WHEN num IS NOT NULL AND try_cast(rule_value AS DOUBLE) IS NOT NULL THEN num <= try_cast(rule_value AS DOUBLE) END
-      WHEN 'EXISTS' THEN CASE WHEN num IS NULL AND str IS NULL THEN false WHEN str IS NOT NULL THEN str <> '' ELSE true END
+      WHEN 'EXISTS' THEN CASE kind WHEN 'none' THEN false WHEN 'str' THEN str <> '' ELSE true END
       WHEN 'IN' THEN CASE WHEN json_valid(rule_value) AND json_type(rule_value) = 'ARRAY' AND str IS NOT NULL THEN list_contains(CAST(CAST(rule_value AS JSON) AS VARCHAR[]), str) END END AS ok
     FROM (SELECT r.report_id, r.manuscript_id, r.layer, u.rule_id, u.target AS rule_target, u.* EXCLUDE (layer, rule_id, target) FROM reports r JOIN unique_rules u ON u.layer = r.layer AND u.profile_version = r.profile_version) a
-    LEFT JOIN facts f ON f.manuscript_id = a.manuscript_id AND f.target = a.rule_target) x(report_id, manuscript_id, layer, rule_id, rule_target, profile_version, rule_key, operator, rule_value, severity, machine_checkable, status, applicability_mode, critical_for_readiness, evaluation_scope, target, ok))
+    LEFT JOIN facts f ON f.manuscript_id = a.manuscript_id AND f.target = a.rule_target AND f.unit = CASE WHEN a.rule_target IN ('title', 'abstract', 'main_text') THEN CASE WHEN a.unit IN ('words', 'characters') THEN a.unit ELSE 'text' END ELSE 'any' END) x(report_id, manuscript_id, layer, rule_id, rule_target, profile_version, rule_key, operator, rule_value, unit, severity, machine_checkable, status, applicability_mode, critical_for_readiness, evaluation_scope, target, ok))
 """
 _AUDIT = _AUDIT.replace("WHEN target = 'cover_letter'", "WHEN rule_target = 'cover_letter'").replace("WHEN f.target IS NULL THEN", "WHEN target IS NULL THEN")
 
@@ -119,6 +121,92 @@ limits AS (SELECT evidence_id, e.rule_id, e.m AS value, e.unit FROM (
   FROM (SELECT DISTINCT evidence_id, lower(evidence_text) AS t FROM evidence_records)) WHERE e.m <> '')
 """
 
+_NUMBER = "(?:^|[^\\p{L}\\p{N}_.])((?:p[\\s\\x0B]*[<=>][\\s\\x0B]*)?[+-]?(?:\\p{Nd}+(?:\\.\\p{Nd}+)?|\\.\\p{Nd}+)(?:[eE][+-]?\\p{Nd}+)?%?)"
+
+
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(replace(nfc_normalize({x}), '\\%', '%'), '[\\s\\x0B\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+', ' ', 'g'))"
+
+
+def _fold(x: str) -> str:
+    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+_PLACE = "list_transform(string_split(node_path, '.'), lambda x: {'l': x[1], 'i': CAST(x[2:] AS BIGINT)})"
+_TEXTS = f"""
+{_PARAS},
+all_texts AS (SELECT record_id, part, place, {_normal("text")} AS text FROM (
+  SELECT record_id, 0 AS part, [{{'l': 't', 'i': 0::BIGINT}}] AS place, title AS text FROM manuscripts
+  UNION ALL SELECT record_id, 1, {_PLACE}, v.title FROM front
+  UNION ALL SELECT record_id, 1, {_PLACE}, v.text FROM texts
+  UNION ALL SELECT record_id, 2, {_PLACE}, v ->> '$.title' FROM tree WHERE relation = 'section' AND json_type(v) = 'OBJECT'
+  UNION ALL SELECT record_id, 2, {_PLACE}, text FROM paras
+  UNION ALL SELECT m.record_id, 3, [{{'l': 'r', 'i': b.ref_key}}], b.raw_text FROM bib_references b JOIN manuscripts m USING (manuscript_id) WHERE b.deleted_at IS NULL)),
+filled AS (SELECT * FROM all_texts WHERE text <> '')
+"""
+_LIMIT_PATTERNS = [
+    ("title.max_words", "LTE", "words", "title\\s+(\\d[\\d,]*)\\s+words"), ("abstract.max_words", "LTE", "words", "abstract\\s+(\\d[\\d,]*)\\s+words"),
+    ("main_text.max_words", "LTE", "words", "main text(?: ideally)?\\s+(\\d[\\d,]*)\\s+words"), ("display_items.max_count", "LTE", "items", "display items(?: up to)?\\s+(\\d[\\d,]*)"),
+    ("extended_data.max_count", "LTE", "items", "up to\\s+(\\d+)\\s+extended data"), ("main_text.max_words", "LTE", "words", "main text (?:may not exceed|should ideally stay below)\\s+(\\d[\\d,]*)\\s+words"),
+    ("abstract.max_words", "LTE", "words", "abstracts are confined to\\s+(\\d[\\d,]*)\\s+words"),
+]
+_FLAGS = [
+    ("identity.article_type", "EQ", "Article", "contains(t, 'article limits')"), ("cover_letter.required", "EXISTS", "true", "contains(t, 'include') AND contains(t, 'cover letter')"),
+    ("supplement.allowed", "EXISTS", "OPTIONAL", "regexp_matches(t, 'supplementary information optional|optional supplementary information')"),
+    *[(rule, "EXISTS", "true", f"contains(t, '{token}') AND regexp_matches(t, 'requires|must include')") for rule, token in (
+        ("statements.competing_interests.required", "competing-interest"), ("statements.data_availability.required", "data-availability statement"), ("statements.author_contributions.required", "author-contribution statement"),
+    )],
+]
+
+
+def _candidates(source: str, keys: str, text: str) -> str:
+    """Each rule that a segment states, as (keys, rule_id, operator, value, unit)."""
+    limits = [f"{{'rule_id': '{r}', 'op': '{o}', 'm': nullif(replace(regexp_extract(t, '{p}', 1), ',', ''), ''), 'unit': '{u}'}}" for r, o, u, p in _LIMIT_PATTERNS]
+    flags = [f"{{'rule_id': '{r}', 'op': '{o}', 'm': CASE WHEN {c} THEN '{v}' END, 'unit': NULL}}" for r, o, v, c in _FLAGS]
+    return f"SELECT DISTINCT {keys}, e.rule_id AS rule_id, e.op AS operator, e.m AS value, e.unit AS unit FROM (SELECT {keys}, unnest([{', '.join(limits + flags)}]) AS e FROM (SELECT {keys}, lower({text}) AS t FROM {source})) WHERE e.m IS NOT NULL"
+
+
+_SEGMENTS = r"""
+pieces AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '[\s\x0B\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g')), '([.!?])[\s\x0B]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS p FROM documents WHERE doc_kind = 'guideline' AND text IS NOT NULL),
+cut AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS seq, trim(unnest(p)) AS segment FROM pieces),
+segs AS (SELECT doc_id, seq, segment, substr(sha256(segment), 1, 24) AS segment_hash FROM cut WHERE length(segment) >= 12)
+"""
+_GUIDE = f"""
+{_SEGMENTS},
+stated AS ({_candidates("segs", "doc_id, seq, segment_hash", "segment")}),
+found AS (SELECT doc_id, segment_hash, rule_id, operator, value, unit, min(seq) AS seq FROM stated GROUP BY ALL),
+clash AS (SELECT rule_id, count(DISTINCT value) AS n_values, count(DISTINCT (doc_id, seq, value)) AS n_candidates, min(value) AS lowest, max(value) AS highest FROM found GROUP BY ALL HAVING count(DISTINCT value) > 1)
+"""
+_RANKED = "list_position(['introduction', 'results', 'discussion', 'methods'], section)"
+_MARKERS = r"""
+marks AS (SELECT DISTINCT manuscript_id, citation_id, raw_text FROM citations),
+i AS (SELECT *, string_split(regexp_replace(translate(raw_text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789'), '[\[\] \t]', '', 'g'), ',') AS items FROM marks),
+r AS (SELECT *, list_transform(items, lambda x: CASE WHEN regexp_full_match(x, '\d{1,9}([–-]\d{1,9})?') THEN {'a': try_cast(regexp_extract(x, '^(\d+)', 1) AS INT), 'b': coalesce(try_cast(regexp_extract(x, '[–-](\d+)$', 1) AS INT), try_cast(regexp_extract(x, '^(\d+)', 1) AS INT))} END) AS ends FROM i),
+n AS (SELECT *, CASE WHEN len(list_filter(ends, lambda e: coalesce(e.a >= 1 AND e.b >= e.a AND e.b - e.a <= 1000, false))) = len(ends) THEN flatten(list_transform(ends, lambda e: range(e.a, e.b + 1))) END AS v FROM r),
+expanded AS (SELECT manuscript_id, citation_id, raw_text, CASE WHEN len(v) = len(list_distinct(v)) THEN list_sort(v) END AS numbers FROM n)
+"""
+_SCIENCE = {
+    "percentage": "\\b\\d+(?:\\.\\d+)?\\s?%", "p_value": "\\bp\\s*[<=>]\\s*\\.?\\d+(?:\\.\\d+)?(?:e-?\\d+)?", "citation": "\\[(?:\\d+(?:\\s*[-,]\\s*\\d+)*)\\]",
+    "figure_reference": "\\b(?:Fig(?:ure)?\\.?)\\s*[A-Z]?\\d+[A-Za-z]?\\b", "numeric": "(?:^|[^\\w.+-])([-+]?\\d+(?:\\.\\d+)?)(?:[^\\w.]|$)",
+}
+
+
+def _changed(name: str) -> str:
+    group = ", 1" if name == "numeric" else ""
+    a, b = (f"list_distinct(regexp_extract_all({x}, '{_SCIENCE[name]}'{group}))" for x in "ab")
+    return f"list_sort(list_concat(list_transform(list_filter({a}, lambda x: NOT list_contains({b}, x)), lambda x: 'removed:' || x), list_transform(list_filter({b}, lambda x: NOT list_contains({a}, x)), lambda x: 'added:' || x)))"
+
+
+def _sentence(x: str) -> str:
+    return f"'n = ' || CAST(l_quantity AS INT) || ', ' || CAST(round({x} * 100) AS INT) || '% (p < 0.0' || l_linenumber || '), Figure ' || l_linenumber || ' [' || l_partkey || ']'"
+
+
+_KIND_TOKENS = (
+    ("cover", "COVER_LETTER"), ("title_page", "TITLE_PAGE"), ("figure", "FIGURE"), ("fig", "FIGURE"), ("table", "TABLE"), ("supp", "SUPPLEMENTARY_INFORMATION"), ("checklist", "REPORTING_CHECKLIST"),
+    ("graphical", "GRAPHICAL_ABSTRACT"), ("highlight", "HIGHLIGHTS"), ("ethics", "ETHICS_DOCUMENT"), ("consent", "CONSENT_DOCUMENT"),
+)
+_KIND = "CASE " + " ".join(f"WHEN contains(stem, '{t}') THEN '{k}'" for t, k in _KIND_TOKENS) + " ELSE 'OTHER_REQUIRED_FILE' END"
+
 SQL = {
     "audit_findings": f"WITH RECURSIVE {_AUDIT} SELECT report_id, rule_id, finding_status FROM audit",
     "audit_summary": f"WITH RECURSIVE {_AUDIT} SELECT report_id, {_STATES} FROM audit GROUP BY ALL",
@@ -139,14 +227,14 @@ SELECT x.op AS op, x.kind AS kind, count(*) FILTER (x.ok) AS n_true, count(*) FI
 SELECT 'sha256:' || sha256(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[\s\x0B]+|[\s\x0B]+$', '', 'g')) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc
 FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "heading_sections": f"SELECT section, count(*) AS n FROM (SELECT {_NAMED} AS section FROM (SELECT {_HEADING} AS h FROM (SELECT DISTINCT entry_id, title FROM outline_entries))) GROUP BY ALL",
-    "citation_missing_reference": f"SELECT DISTINCT k AS reference_id FROM (SELECT {_key('r')} AS k FROM (SELECT unnest(reference_ids) AS r FROM citations)) WHERE k IS NOT NULL AND k NOT IN (SELECT {_key('reference_id')} FROM bib_references WHERE {_key('reference_id')} IS NOT NULL)",
-    "uncited_reference": f"SELECT DISTINCT k AS reference_id FROM (SELECT {_key('reference_id')} AS k FROM bib_references) WHERE k IS NOT NULL AND k NOT IN (SELECT {_key('r')} FROM (SELECT unnest(reference_ids) AS r FROM citations) WHERE {_key('r')} IS NOT NULL)",
-    "duplicate_reference": r"""
+    "citation_missing_reference": f"SELECT c.* FROM (SELECT DISTINCT manuscript_id, {_key("r")} AS reference_id FROM (SELECT manuscript_id, unnest(reference_ids) AS r FROM citations)) c ANTI JOIN (SELECT DISTINCT manuscript_id, {_key("reference_id")} AS reference_id FROM bib_references) r USING (manuscript_id, reference_id) WHERE reference_id IS NOT NULL AND manuscript_id IS NOT NULL",
+    "uncited_reference": f"SELECT r.* FROM (SELECT DISTINCT manuscript_id, {_key("reference_id")} AS reference_id FROM bib_references) r ANTI JOIN (SELECT DISTINCT manuscript_id, {_key("r")} AS reference_id FROM (SELECT manuscript_id, unnest(reference_ids) AS r FROM citations)) c USING (manuscript_id, reference_id) WHERE reference_id IS NOT NULL AND manuscript_id IS NOT NULL",
+    "duplicate_reference": f"""
+SELECT manuscript_id, repeated, count(DISTINCT ref_key) AS n, min(ref_key) AS first_member, max(ref_key) AS last_member
+FROM (SELECT manuscript_id, ref_key, trim(regexp_replace({_fold("raw_text")}, '[\\s\\x0B\\p{{Z}}]+', ' ', 'g')) AS repeated FROM bib_references) WHERE repeated <> '' GROUP BY ALL HAVING count(DISTINCT ref_key) > 1""",
+    "duplicate_doi": f"""
 SELECT manuscript_id, repeated, count(DISTINCT ref_key) AS n, min(ref_key) AS first_member, max(ref_key) AS last_member
-FROM (SELECT manuscript_id, ref_key, lower(trim(regexp_replace(raw_text, '[\s\x0B\p{Z}]+', ' ', 'g'))) AS repeated FROM bib_references) WHERE repeated <> '' GROUP BY ALL HAVING count(DISTINCT ref_key) > 1""",
-    "duplicate_doi": r"""
-SELECT repeated, count(DISTINCT ref_key) AS n, min(ref_key) AS first_member, max(ref_key) AS last_member
-FROM (SELECT ref_key, regexp_replace(lower(trim(doi)), '^https://doi\.org/', '') AS repeated FROM bib_references) WHERE repeated <> '' GROUP BY ALL HAVING count(DISTINCT ref_key) > 1""",
+FROM (SELECT manuscript_id, ref_key, regexp_replace({_fold("doi")}, '^https://doi\\.org/', '') AS repeated FROM bib_references) WHERE repeated <> '' GROUP BY ALL HAVING count(DISTINCT ref_key) > 1""",
     "incomplete_records": """
 SELECT 'reference' AS record, x.part AS part, sum(x.n)::BIGINT AS n_missing FROM (SELECT unnest([{'part': 'title', 'n': (trim(coalesce(title, '')) = '')::INT}, {'part': 'doi', 'n': (trim(coalesce(doi, '')) = '')::INT},
   {'part': 'source_title', 'n': (trim(coalesce(source_title, '')) = '')::INT}, {'part': 'pub_year', 'n': (trim(coalesce(pub_year, '')) = '')::INT}]) AS x FROM bib_references) GROUP BY ALL
@@ -177,7 +265,7 @@ SELECT layer, version, 'INVALID_PRECEDENCE' AS issue FROM layer_rows WHERE prece
 UNION SELECT layer, version, 'STALE_PROFILE' FROM layer_rows WHERE {_STALE}
 UNION SELECT layer, version, CASE WHEN min(value) = max(value) THEN 'DUPLICATE_RULE' ELSE 'EQUAL_LEVEL_CONFLICT' END FROM rules GROUP BY layer, version, rule_id HAVING count(*) > 1
 UNION SELECT layer, version, 'INFLATED_PROFILE_STATUS' FROM layer_rows WHERE status = 'VERIFIED' AND (layer, version) IN (SELECT (layer, version) FROM rules WHERE layer IS NOT NULL AND status IS DISTINCT FROM 'VERIFIED')""",
-    "fingerprint_digest": f"WITH RECURSIVE {_PARAS} SELECT record_id, count(*) AS n, 'sha256:' || sha256(CAST(to_json(list(text ORDER BY node_path)) AS VARCHAR)) AS digest FROM paras WHERE text IS NOT NULL GROUP BY ALL",
+    "fingerprint_digest": f"WITH RECURSIVE {_TEXTS} SELECT record_id, count(*) AS n, 'sha256:' || sha256(CAST(to_json(list(text ORDER BY part, place)) AS VARCHAR)) AS digest FROM filled GROUP BY ALL",
     "multiset_preservation": "SELECT l_suppkey, l_partkey, count(*) FILTER (l_returnflag = 'R') AS n_before, count(*) FILTER (l_returnflag = 'A') AS n_after FROM lineitem GROUP BY ALL HAVING count(*) FILTER (l_returnflag = 'R') <> count(*) FILTER (l_returnflag = 'A')",
     "compliance_delta": f"""
 WITH c AS (SELECT manuscript_id, e.key AS rule_id, upper(trim(e.value)) AS status, verified_at, report_id FROM (SELECT *, unnest(map_entries(compliance_checks)) AS e FROM verification_reports WHERE verified_at IS NOT NULL) WHERE e.value IS NOT NULL),
@@ -210,7 +298,7 @@ SELECT record_id, node_path, CASE WHEN k = 1 THEN base ELSE base || '.' || k END
 WITH RECURSIVE {_OUTLINE}, a AS (SELECT record_id, title AS named, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS k FROM labelled WHERE section IS NOT NULL),
 b AS (SELECT record_id, title AS free, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS k FROM labelled WHERE section IS NULL)
 SELECT record_id, k, named, free FROM a JOIN b USING (record_id, k)""",
-    "extracted_rules": f"WITH {_LOW_LIMITS} SELECT DISTINCT evidence_id, rule_id, 'LTE' AS operator, replace(value, ',', '') AS value, unit FROM limits",
+    "extracted_rules": _candidates("evidence_records", "evidence_id", "evidence_text"),
     "extraction_f1": f"""
 WITH {_LOW_LIMITS}, t AS (SELECT DISTINCT evidence_id FROM evidence_records WHERE contains(lower(evidence_text), 'words')), p AS (SELECT DISTINCT evidence_id FROM limits WHERE unit = 'words'),
 c AS (SELECT (SELECT count(*) FROM t) AS n_true, (SELECT count(*) FROM p) AS n_proposed, (SELECT count(*) FROM t JOIN p USING (evidence_id)) AS n_hit)
@@ -233,10 +321,60 @@ WITH RECURSIVE {_OUTLINE}, z AS (SELECT record_id, min(seq) AS lo, max(seq) + 1
 marks AS (SELECT record_id, section AS label, seq AS start, 1 AS k FROM labelled WHERE section IS NOT NULL UNION ALL SELECT record_id, 'front_matter', lo, 0 FROM z),
 ended AS (SELECT record_id, label, start, coalesce(lead(start) OVER (PARTITION BY record_id ORDER BY start, k), hi) AS finish FROM marks JOIN z USING (record_id))
 SELECT l.record_id, l.seq, e.label FROM labelled l JOIN ended e ON e.record_id = l.record_id AND l.seq >= e.start AND l.seq < e.finish""",
-    "citation_expand": r"""
-WITH c AS (SELECT DISTINCT citation_id, raw_text FROM citations),
-i AS (SELECT citation_id, regexp_split_to_array(regexp_replace(translate(raw_text, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789'), '[\[\] \t]', '', 'g'), '[,;]') AS items FROM c),
-r AS (SELECT citation_id, list_transform(items, lambda x: CASE WHEN regexp_full_match(x, '\d{1,9}([–-]\d{1,9})?') THEN {'a': try_cast(regexp_extract(x, '^(\d+)', 1) AS INT), 'b': coalesce(try_cast(regexp_extract(x, '[–-](\d+)$', 1) AS INT), try_cast(regexp_extract(x, '^(\d+)', 1) AS INT))} END) AS ends FROM i),
-n AS (SELECT citation_id, CASE WHEN len(list_filter(ends, lambda e: coalesce(e.a >= 1 AND e.b >= e.a AND e.b - e.a <= 1000, false))) = len(ends) THEN flatten(list_transform(ends, lambda e: range(e.a, e.b + 1))) END AS v FROM r)
-SELECT citation_id, CASE WHEN len(v) = len(list_distinct(v)) THEN list_sort(v) END AS numbers FROM n""",
+    "citation_expand": f"WITH {_MARKERS} SELECT DISTINCT citation_id, numbers FROM expanded",
+    "numbers_fingerprint": f"""
+WITH RECURSIVE {_TEXTS}, nums AS (SELECT record_id, part, place, regexp_extract_all(text, '{_NUMBER}', 1) AS v FROM filled)
+SELECT record_id, sum(len(v))::BIGINT AS n, 'sha256:' || sha256(CAST(to_json(flatten(list(list_transform(v, lambda x: replace(x, ' ', '')) ORDER BY part, place))) AS VARCHAR)) AS digest FROM nums WHERE len(v) > 0 GROUP BY ALL""",
+    "number_tokens": f"""
+SELECT doc_id, len(regexp_extract_all(t, '{_NUMBER}', 1)) AS n_numbers, len(regexp_extract_all(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:fig(?:ure)?|table)\\s*[A-Za-z0-9.-]+')) AS n_figures, list_sort(regexp_extract_all(t, '\\[\\d+(?:\\s*[-,]\\s*\\d+)*\\]')) AS citations
+FROM (SELECT doc_id, {_normal("text")} AS t FROM documents)""",
+    "layer_cycles": f"WITH RECURSIVE {_ANCESTORS} SELECT DISTINCT l.child AS node FROM links l JOIN up ON up.root = l.parent AND up.node = l.child",
+    "scientific_diff": f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, {_sentence("l_discount")} AS a, {_sentence("l_tax")} AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, {", ".join(f"{_changed(n)} AS {n}" for n in _SCIENCE)}, CASE WHEN a = b THEN 'SAFE' ELSE 'REVIEW_REQUIRED' END AS diff_status FROM t""",
+    "section_reorder": f"""
+WITH RECURSIVE {_OUTLINE}, k AS (SELECT record_id, seq, section, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS slot, row_number() OVER (PARTITION BY record_id ORDER BY {_RANKED}, seq) AS place FROM labelled WHERE {_RANKED} > 0)
+SELECT a.record_id, a.seq, a.section, b.seq AS new_seq FROM k a JOIN k b ON b.record_id = a.record_id AND b.slot = a.place
+UNION ALL SELECT record_id, seq, section, seq FROM labelled WHERE coalesce({_RANKED}, 0) = 0""",
+    "section_neighbours": f"""
+WITH RECURSIVE {_OUTLINE}
+SELECT a.record_id, a.title AS named, min(b.title) AS free FROM labelled a JOIN labelled b ON b.record_id = a.record_id AND b.section IS NULL AND abs(a.seq - b.seq) = 1 WHERE a.section IS NOT NULL GROUP BY a.record_id, a.seq, a.title HAVING count(*) = 1""",
+    "numbered_headings": """
+WITH RECURSIVE e AS (SELECT DISTINCT entry_id, manuscript_id, seq, title FROM outline_entries WHERE manuscript_id IS NOT NULL),
+h AS (SELECT manuscript_id, row_number() OVER (PARTITION BY manuscript_id ORDER BY seq, entry_id, title) AS k, try_cast(regexp_extract(title, '^[\\s\\x0B]*(\\d+)(?:\\.(\\d+))?[.)]?[\\s\\x0B]+[^\\s\\x0B]', 1) AS INT) AS a, try_cast(regexp_extract(title, '^[\\s\\x0B]*(\\d+)(?:\\.(\\d+))?[.)]?[\\s\\x0B]+[^\\s\\x0B]', 2) AS INT) AS b FROM e),
+walk(manuscript_id, k, top, sub, n) AS (
+  SELECT manuscript_id, 0::BIGINT, 0, 0, 0 FROM (SELECT DISTINCT manuscript_id FROM h)
+  UNION ALL SELECT h.manuscript_id, h.k, CASE WHEN b IS NULL AND a = top + 1 THEN a ELSE top END, CASE WHEN b IS NULL AND a = top + 1 THEN 0 WHEN a = top AND b = sub + 1 THEN b ELSE sub END, n + CASE WHEN (b IS NULL AND a = top + 1) OR (a = top AND b = sub + 1) THEN 1 ELSE 0 END
+  FROM walk JOIN h ON h.manuscript_id = walk.manuscript_id AND h.k = walk.k + 1)
+SELECT manuscript_id, CAST(max(k) AS INT) AS n_headings, max(n) AS n_accepted FROM walk GROUP BY ALL""",
+    "citation_linkage": f"""
+WITH {_MARKERS}, s AS (SELECT manuscript_id, CAST(ref_key % 100 AS INT) AS number, count(*) AS n FROM bib_references GROUP BY ALL),
+each AS (SELECT DISTINCT manuscript_id, citation_id, number FROM (SELECT manuscript_id, citation_id, unnest(CASE WHEN len(numbers) > 0 THEN numbers ELSE [NULL] END) AS number FROM expanded))
+SELECT e.manuscript_id, e.citation_id, count(e.number) AS n_numbers, count(s.n) AS n_linked, CASE WHEN count(e.number) > 0 AND count(s.n) = count(e.number) AND max(s.n) = 1 THEN 'HIGH' ELSE 'LOW' END AS confidence
+FROM each e LEFT JOIN s ON s.manuscript_id = e.manuscript_id AND s.number = e.number GROUP BY ALL""",
+    "evidence_segments": f"WITH {_SEGMENTS} SELECT * FROM segs",
+    "candidate_conflicts": f"WITH {_GUIDE} SELECT * FROM clash",
+    "review_queue": f"""
+WITH {_GUIDE}
+SELECT f.doc_id, f.seq, f.rule_id, f.value, CASE WHEN s.segment IS NULL THEN 'UNSUPPORTED' WHEN f.rule_id IN (SELECT rule_id FROM clash) THEN 'CONFLICTED' WHEN regexp_full_match(f.value, '\\d+') AND NOT contains(replace(s.segment, ',', ''), f.value) THEN 'UNSUPPORTED' ELSE 'SUPPORTED' END AS review
+FROM found f LEFT JOIN segs s USING (doc_id, seq)""",
+    "curated_diff": f"""
+WITH p AS (SELECT rule_id, min({{'n': CAST(value AS INT), 'o': operator, 'm': CASE rule_id WHEN 'extended_data.max_count' THEN 'CONDITIONAL' ELSE 'ALWAYS' END}}) AS x FROM ({_candidates("evidence_records", "evidence_id", "evidence_text")}) WHERE operator = 'LTE' GROUP BY ALL),
+c AS (SELECT rule_id, min({{'n': try_cast(rule_value AS INT), 'o': operator, 'm': applicability_mode}}) AS x FROM profile_rules WHERE status = 'VERIFIED' AND operator = 'LTE' GROUP BY ALL)
+SELECT coalesce(p.rule_id, c.rule_id) AS rule_id, CASE WHEN c.rule_id IS NULL THEN 'NEW_SUPPORTED_CANDIDATE' WHEN p.rule_id IS NULL THEN 'MISSING_EXISTING_RULE' WHEN p.x.n IS DISTINCT FROM c.x.n OR p.x.o IS DISTINCT FROM c.x.o THEN 'VALUE_CONFLICT'
+  WHEN p.x.m IS DISTINCT FROM c.x.m THEN 'APPLICABILITY_CONFLICT' ELSE 'MATCH_EXISTING' END AS comparison FROM p FULL JOIN c ON p.rule_id = c.rule_id""",
+    "file_kinds": f"""
+WITH names AS (SELECT source_path AS name FROM source_records UNION ALL SELECT title FROM outline_entries),
+parts AS (SELECT name, translate(lower(regexp_replace(name, '\\.[^./]*$', '')), '- ', '__') AS stem, list_filter(string_split(name, '/'), lambda p: p NOT IN ('', '.')) AS p FROM names WHERE name IS NOT NULL)
+SELECT {_KIND} AS kind, NOT starts_with(name, '/') AND len(p) > 0 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '[A-Za-z0-9][A-Za-z0-9._ -]*'))) = 0 AS safe, count(*) AS n FROM parts GROUP BY ALL""",
+    "visible_text": r"""
+WITH pages AS (SELECT doc_id, '<html><script>var x = 1;</script><nav>menu</nav><p>' || text || '</p><div style=''display: none''>no</div><p>Q&amp;A</p></html>' AS p FROM documents WHERE text IS NOT NULL),
+bare AS (SELECT doc_id, regexp_replace(regexp_replace(p, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<nav[^>]*>.*?</nav>|<aside[^>]*>.*?</aside>', ' ', 'g'), '(?is)<[^>]*(?:hidden|display\s*:\s*none)[^>]*>.*?</[^>]+>', ' ', 'g') AS p FROM pages)
+SELECT doc_id, trim(regexp_replace(replace(regexp_replace(p, '<[^>]+>', chr(10), 'g'), '&amp;', '&'), '[\s\x0B\p{Z}\x1c-\x1f\x{85}]+', ' ', 'g')) AS visible FROM bare""",
+    "reference_roundtrip": r"""
+WITH raw AS (SELECT ref_key, ref_key || '. ' || array_to_string(list_transform(authors, lambda a: regexp_replace(a, '^(.*) (\S)$', '\1, \2.')), '; ') || ' ' || trim(regexp_replace(title, '[\s\x0B\p{Z}]+', ' ', 'g')) || '. ' || source_title || ' ' || volume || '(' || issue || '), ' || pages_or_article_number || ' (' || pub_year || ').' AS raw FROM bib_references),
+body AS (SELECT ref_key, raw, regexp_extract(raw, '^\s*\d+\s*[.)]\s+(.+)$', 1) AS b, '^([^,;.&]+, (?:[A-Z]\.(?:[- ]?[A-Z]\.)*)(?:(?:; |, | & )[^,;.&]+, (?:[A-Z]\.(?:[- ]?[A-Z]\.)*))*)\.? ([^.]+)\. (.+?) (\d+)(?:\((\d+)\))?, ([\p{L}\p{N}_–-]+) \((\d{4})\)\.$' AS layout FROM raw WHERE raw IS NOT NULL),
+part AS (SELECT ref_key, raw, regexp_matches(b, layout) AS fits, nullif(regexp_extract(b, layout, 1), '') AS a, nullif(regexp_extract(b, layout, 2), '') AS t, nullif(regexp_extract(b, layout, 3), '') AS s, nullif(regexp_extract(b, layout, 4), '') AS v, nullif(regexp_extract(b, layout, 5), '') AS i, nullif(regexp_extract(b, layout, 6), '') AS p, nullif(regexp_extract(b, layout, 7), '') AS y FROM body)
+SELECT ref_key, CASE WHEN fits AND ref_key > 0 THEN 'HIGH' WHEN fits THEN 'MEDIUM' ELSE 'LOW' END AS parse_confidence, v AS volume, y AS year, CASE WHEN a IS NULL THEN NULL ELSE len(string_split(a, '; ')) END AS n_authors,
+  CASE WHEN fits AND ref_key > 0 THEN ref_key || '. ' || a || ' ' || t || '. ' || s || ' ' || v || coalesce('(' || i || ')', '') || ', ' || p || ' (' || y || ').' = raw END AS same FROM part""",
 }

@@ -41,11 +41,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return nodes.unionByName(check_nodes(spark, folder).withColumn("record_kind", F.lit("report"))).select("record_kind", "record_id", "parent_path", "node_path")
 
 
-def p1_relation(element: str, **types: str):
+def p1_relation(element: str, bare: str | None = None, **types: str):
     """A query for the flat table of one element of the manuscripts."""
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return nested.relation_table(manuscript_nodes(spark, folder, (element,)), MANUSCRIPT.relations()[element], **types)
+        return nested.relation_table(manuscript_nodes(spark, folder, (element,)), MANUSCRIPT.relations()[element], bare, **types)
 
     return query
 
@@ -118,7 +118,7 @@ def p3_table(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_sections": p1_relation("section", level="int"),
-    "p1_paragraphs": p1_relation("paragraph"),
+    "p1_paragraphs": p1_relation("paragraph", "text"),
     "p1_locators": p1_relation("source_locator", index="int", line_start="int", line_end="int"),
     "p1_checks": p1_checks,
     "p2_found": p2_found,

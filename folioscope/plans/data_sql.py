@@ -99,4 +99,25 @@ UNION ALL SELECT feed_id, file_seq, 'added', '', field FROM come WHERE NOT EXIST
 UNION ALL SELECT old.feed_id, old.file_seq, 'retyped', old.field, old.field FROM old JOIN new ON new.feed_id = old.feed_id AND new.file_seq = old.file_seq AND new.field = old.field WHERE old.types IS DISTINCT FROM new.types
 """
 
-SQL = {"p1_found": P1_FOUND, "p1_checks": P1_CHECKS, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND}
+_IN = "CASE WHEN parent_path = 'root' THEN 'manuscript' ELSE 'section' END"
+_LAST = "CAST(regexp_extract(node_path, '(\\d+)$', 1) AS INT)"
+P1_SECTIONS = f"""
+WITH RECURSIVE {_TREE}
+SELECT record_id, node_path, {_IN} AS parent_relation, parent_path, {_LAST} AS ordinal, v ->> '$.object_id' AS object_id, v ->> '$.title' AS title, try_cast(v ->> '$.level' AS INT) AS level FROM tree WHERE relation = 'section'
+UNION ALL SELECT record_id, node_path, 'manuscript', 'root', {_LAST}, v.object_id, v.title, v.level FROM front
+"""
+P1_PARAGRAPHS = f"""
+WITH RECURSIVE {_TREE}
+SELECT record_id, node_path, 'section' AS parent_relation, parent_path, {_LAST} AS ordinal, v ->> '$.object_id' AS object_id, CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE v ->> '$.text' END AS text FROM tree WHERE relation = 'paragraph'
+UNION ALL SELECT record_id, node_path, 'section', parent_path, {_LAST}, v.object_id, v.text FROM texts
+"""
+P1_LOCATORS = f"""
+WITH RECURSIVE {_TREE},
+held AS (SELECT record_id, relation, node_path, v -> '$.source_locator' AS x FROM tree WHERE json_type(v) = 'OBJECT'),
+locs AS (SELECT record_id, relation, node_path, unnest({_entries("x")}) AS v, generate_subscripts({_entries("x")}, 1) - 1 AS i FROM held)
+SELECT record_id, node_path || '.l' || i AS node_path, relation AS parent_relation, node_path AS parent_path, CAST(i AS INT) AS ordinal, v ->> '$.format' AS format, v ->> '$.status' AS status, v ->> '$.part' AS part,
+  try_cast(v ->> '$.index' AS INT) AS index, v ->> '$.source_file' AS source_file, try_cast(v ->> '$.line_start' AS INT) AS line_start, try_cast(v ->> '$.line_end' AS INT) AS line_end FROM locs WHERE json_type(v) <> 'NULL'
+UNION ALL SELECT record_id, node_path || '.l0', 'paragraph', node_path, 0, v.source_locator.format, v.source_locator.status, v.source_locator.part, v.source_locator."index", NULL, NULL, NULL FROM texts WHERE v.source_locator IS NOT NULL
+"""
+
+SQL = {"p1_sections": P1_SECTIONS, "p1_paragraphs": P1_PARAGRAPHS, "p1_locators": P1_LOCATORS, "p1_found": P1_FOUND, "p1_checks": P1_CHECKS, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p3_found": P3_FOUND}

@@ -39,7 +39,7 @@ def test_lists_in_place_of_single_objects_lose_nothing(spark):
     assert {(r.node_path, r.attrs["part"]) for r in rows} == {("s0.l0", "a"), ("s0.l2", "b")}
     graph = nested.Graph({"a": ("x",), "b": ("y",)}, [nested.Edge("r", "as", "a", True, "a"), nested.Edge("a", "b", "b", False, "b")])
     (row,) = nested.walk(graph, {"a"}, graph.edges[0], {"x": 1, "b": [{"y": 2}, {"y": 3}, "z"]}, True)
-    assert dict(row[-1]) == {"x": "1", "b_y": "2", "b_more": '[{"y": 3}, "z"]'}
+    assert dict(row[-1]) == {"x": "1", "b_y": "2", "b_more": '[{"y":3},"z"]'}
     text = "[]"
     for _ in range(20):
         text = json.dumps(text)
