@@ -218,9 +218,12 @@ def layer_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     return layers.ancestors(profile_links(spark, folder))
 
 
-def layer_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """Layers that descend from themselves."""
-    return layers.cycles(profile_links(spark, folder))
+def layer_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many layers each one descends from, how far, and whether from itself."""
+    links = profile_links(spark, folder)
+    loops = layers.cycles(links).select(F.col("node").alias("root"), F.lit(True).alias("cyclic"))
+    sizes = layers.ancestors(links).groupBy("root").agg((F.count("*") - 1).alias("n_ancestors"), F.max("level").alias("depth"))
+    return sizes.join(loops, "root", "left").select("root", "n_ancestors", "depth", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def layer_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -460,7 +463,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_findings, audit_summary, audit_coverage, audit_rollup, operator_matrix, text_measures, content_groups, number_tokens, heading_sections, citation_missing_reference, uncited_reference, duplicate_reference,
-        duplicate_doi, incomplete_records, layer_ancestors, layer_cycles, resolve_layers, resolution_classes, resolved_status, provenance_issues, layer_issues, fingerprint_digest, numbers_fingerprint, scientific_diff, multiset_preservation,
+        duplicate_doi, incomplete_records, layer_ancestors, layer_shapes, resolve_layers, resolution_classes, resolved_status, provenance_issues, layer_issues, fingerprint_digest, numbers_fingerprint, scientific_diff, multiset_preservation,
         compliance_delta, plan_log_reconcile, verification_rollup, block_intervals, block_membership, section_order_check, section_reorder, stable_ids, section_pairs, section_neighbours, numbered_headings, citation_expand,
         citation_linkage, reference_roundtrip, visible_text, evidence_segments, extracted_rules, candidate_conflicts, review_queue, curated_diff, extraction_f1, file_kinds, requirement_gaps, manifest_check, coverage_ratio,
         session_transitions,

@@ -328,7 +328,9 @@ SELECT record_id, sum(len(v))::BIGINT AS n, 'sha256:' || sha256(CAST(to_json(fla
     "number_tokens": f"""
 SELECT doc_id, len(regexp_extract_all(t, '{_NUMBER}', 1)) AS n_numbers, len(regexp_extract_all(t, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:fig(?:ure)?|table)\\s*[A-Za-z0-9.-]+')) AS n_figures, list_sort(regexp_extract_all(t, '\\[\\d+(?:\\s*[-,]\\s*\\d+)*\\]')) AS citations
 FROM (SELECT doc_id, {_normal("text")} AS t FROM documents)""",
-    "layer_cycles": f"WITH RECURSIVE {_ANCESTORS} SELECT DISTINCT l.child AS node FROM links l JOIN up ON up.root = l.parent AND up.node = l.child",
+    "layer_shapes": f"""
+WITH RECURSIVE {_ANCESTORS}, loops AS (SELECT DISTINCT l.child AS root FROM links l JOIN up ON up.root = l.parent AND up.node = l.child)
+SELECT root, count(*) - 1 AS n_ancestors, max(level) AS depth, root IN (SELECT root FROM loops) AS cyclic FROM up GROUP BY ALL""",
     "scientific_diff": f"""
 WITH t AS (SELECT l_orderkey, l_linenumber, {_sentence("l_discount")} AS a, {_sentence("l_tax")} AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, {", ".join(f"{_changed(n)} AS {n}" for n in _SCIENCE)}, CASE WHEN a = b THEN 'SAFE' ELSE 'REVIEW_REQUIRED' END AS diff_status FROM t""",
