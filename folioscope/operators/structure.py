@@ -35,6 +35,53 @@ def section_name(folded: Column) -> Column:
     return table[normal_heading(folded)]
 
 
+# Signs of the matter before the text, as words of a folded line.
+FRONT_WORDS = (
+    "university|institute|department|laboratory|centre|center|hospital|correspondence|affiliation|jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
+)
+
+
+def words_in(c: Column) -> Column:
+    """Runs of letters and digits."""
+    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+"))
+
+
+def front_matter(line: Column) -> Column:
+    """Whether a line looks like an address, an affiliation or a date."""
+    return F.contains(line, F.lit("@")) | F.lower(line).rlike(rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{FRONT_WORDS})(?:[^\p{{L}}\p{{N}}_]|$)")
+
+
+def plausible_title(line: Column) -> Column:
+    """Whether a line could be a title: 3 to 40 words, at most 300 characters, no stop or colon at its end."""
+    return words_in(line).between(3, 40) & (F.length(line) <= 300) & ~F.substring(line, -1, 1).isin(".", ":", ";")
+
+
+def numbered_parts(line: Column) -> Column:
+    """{major, minor, level} of a numbered heading of at most 20 words and 200 characters, else null."""
+    pattern = r"^\s*([1-9]\d*)(?:\.([1-9]\d*))?[.)]?\s+(.+?)\s*\z"
+    rest = F.regexp_extract(line, pattern, 3)
+    good = (rest != "") & words_in(rest).between(1, 20) & (F.length(line) <= 200) & ~F.substring(rest, -1, 1).isin(".", ";")
+    minor = F.regexp_extract(line, pattern, 2).try_cast("int")
+    return F.when(good, F.struct(F.regexp_extract(line, pattern, 1).try_cast("int").alias("major"), minor.alias("minor"), F.when(minor.isNull(), 1).otherwise(2).alias("level")))
+
+
+def flattened_abstract(text: Column) -> Column:
+    """The body of a text that begins with the word Abstract run into it; null if it isn't surely one.
+
+    A colon, white space or a capital must follow, and the body begin with a capital and have 8 words
+    and 50 characters.
+    """
+    bare = F.trim(F.replace(text, F.lit("\u00a0"), F.lit(" ")))
+    body = F.regexp_extract(bare, r"(?s)^Abstract(?::\s*|\s+|(?=\p{Lu}))(.+)\z", 1)
+    return F.when(body.rlike(r"^\p{Lu}") & (words_in(body) >= 8) & (F.length(body) >= 50), body)
+
+
+def plain_heading(line: Column, section: Column) -> Column:
+    """Level of an unstyled heading that names a known section, numbered or not; null for other lines."""
+    number = F.regexp_extract(line, r"^\s*([1-9]\d*)(?:\.([1-9]\d*))?[.)]?\s+\S", 2)
+    return F.when(section.isNotNull(), F.when(number != "", 2).otherwise(1))
+
+
 def stable_ids(df: DataFrame, scope: str, prefix: str, content: Column, order: str) -> DataFrame:
     """df with `stable_id`: prefix and 16 hex digits of the content's sha256, and a running number
     from 2 where a scope has the content again.  Null content counts as empty."""

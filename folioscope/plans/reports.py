@@ -127,6 +127,14 @@ def front_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return p.withColumn("place", place).where("place <= 4").select("record_id", "place", "node_path", structure.normal_heading(F.lower(F.substring("text", 1, 40))).alias("begins"))
 
 
+def line_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the first line of a document and each heading as typed look like: title, front matter, numbered heading."""
+    lines = table(spark, folder, "documents", "doc_id", "text").select(F.lit("document").alias("source"), F.col("doc_id").alias("row_key"), F.element_at(F.split("text", "\n"), 1).alias("line"))
+    lines = lines.unionByName(table(spark, folder, "outline_entries", "entry_id", "title").distinct().select(F.lit("outline"), F.col("entry_id"), F.col("title")).toDF("source", "row_key", "line")).where("line is not null")
+    parts = structure.numbered_parts(F.col("line"))
+    return lines.select("source", "row_key", structure.plausible_title(F.col("line")).alias("plausible_title"), structure.front_matter(F.col("line")).alias("front_matter"), parts["major"].alias("major"), parts["minor"].alias("minor"), parts["level"].alias("level"))
+
+
 def format_targets(spark: SparkSession, folder: str) -> DataFrame:
     """The value that each layer's rules set at one stage: the last version's, conflicting if versions differ in value
     without a declared override, stale if the layer is, unknown if it is verified without provenance."""
@@ -145,6 +153,6 @@ def format_targets(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        preservation_results, observed_changes, unexpected_changes, report_diff, finding_order, audit_json, statement_hashes, conflict_report, same_identity, paragraph_roles, front_paragraphs, format_targets,
+        preservation_results, observed_changes, unexpected_changes, report_diff, finding_order, audit_json, statement_hashes, conflict_report, same_identity, paragraph_roles, front_paragraphs, line_signals, format_targets,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscope.operators.structure import FRONT_WORDS
 from folioscope.plans.audit_sql import _AUDIT, _LAYERS, _NUMBER, _OUTLINE, _PARAS, _PLACE, _RESOLVED, _STALE, _TEXTS
 from folioscope.plans.data_sql import _key
 
@@ -62,6 +63,13 @@ FROM paras p LEFT JOIN labelled l ON l.record_id = p.record_id AND p.node_path L
     "front_paragraphs": f"""
 WITH RECURSIVE {_PARAS}
 SELECT record_id, place, node_path, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+', ' ', 'g')) AS begins FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY {_PLACE}) AS place FROM paras WHERE text IS NOT NULL) WHERE place <= 4""",
+    "line_signals": f"""
+WITH lines AS (SELECT 'document' AS source, doc_id AS row_key, string_split(text, chr(10))[1] AS line FROM documents UNION ALL SELECT DISTINCT 'outline', entry_id, title FROM outline_entries),
+p AS (SELECT *, len(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}]+')) AS w, '(?s)^[\\s\\x0B]*([1-9]\\d*)(?:\\.([1-9]\\d*))?[.)]?[\\s\\x0B]+([^\\n\\r]+?)[\\s\\x0B]*$' AS n FROM lines WHERE line IS NOT NULL),
+q AS (SELECT *, regexp_extract(line, n, 3) AS rest, try_cast(regexp_extract(line, n, 1) AS INT) AS major, try_cast(regexp_extract(line, n, 2) AS INT) AS minor FROM p),
+g AS (SELECT *, rest <> '' AND len(regexp_extract_all(rest, '[\\p{{L}}\\p{{N}}]+')) BETWEEN 1 AND 20 AND length(line) <= 200 AND right(rest, 1) NOT IN ('.', ';') AS good FROM q)
+SELECT source, row_key, w BETWEEN 3 AND 40 AND length(line) <= 300 AND right(line, 1) NOT IN ('.', ':', ';') AS plausible_title, contains(line, '@') OR regexp_matches(lower(line), '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{FRONT_WORDS})(?:[^\\p{{L}}\\p{{N}}_]|$)') AS front_matter,
+  CASE WHEN good THEN major END AS major, CASE WHEN good THEN minor END AS minor, CASE WHEN good THEN CASE WHEN minor IS NULL THEN 1 ELSE 2 END END AS level FROM g""",
     "format_targets": f"""
 WITH {_LAYERS}, late AS (SELECT layer, bool_or(coalesce({_STALE}, false)) AS late FROM layer_rows GROUP BY ALL),
 r AS (SELECT *, {_key("profile_id")} AS layer FROM profile_rules WHERE list_contains(submission_stages, 'REVISION')),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import canonical as C
 from folioscope.operators import changes as X
+from folioscope.operators import structure as S
 
 
 def test_canonical_json_and_ids(spark):
@@ -46,3 +47,16 @@ def test_changes(spark):
     assert [X.first_of(rows, "k", ["at"], last).first().v for last in (False, True)] == ["a", "b"] and X.first_of(rows.limit(0), "k", ["at"]).count() == 0
     t = spark.createDataFrame([("methods", "Figure 2. A"), (None, "table 1"), (None, ""), ("results", "Tables")], "s string, t string")
     assert [r.r for r in t.select(X.role(F.col("s"), F.col("t")).alias("r")).collect()] == ["figure_caption", "table_caption", "body", "results"]
+
+
+def test_lines_without_style(spark):
+    lines = ["Effects of snow on rye", "Snow.", "Institute of Rye", "2.1 Soil water", "3) Many words here.", "mayonnaise tests of oil", "a@b.org", None, ""]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = df.select(S.plausible_title(F.col("t")).alias("p"), S.front_matter(F.col("t")).alias("f"), S.numbered_parts(F.col("t")).alias("n")).collect()
+    assert [r.p for r in got] == [True, False, True, True, False, True, True, None, False] and [r.f for r in got] == [False, False, True, False, False, False, True, None, False]
+    assert [r.n and (r.n.major, r.n.minor, r.n.level) for r in got] == [None, None, None, (2, 1, 2), None, None, None, None, None]
+    body = "We measured the snow of nine winters in forty different fields."
+    t = spark.createDataFrame([("Abstract" + body,), ("Abstract:  " + body,), ("Abstract\u00a0" + body,), ("Abstracts " + body,), ("Abstract We saw.",), (None,)], "t string")
+    assert [r.b for r in t.select(S.flattened_abstract(F.col("t")).alias("b")).collect()] == [body, body, body, None, None, None]
+    h = spark.createDataFrame([("2. Results", "results"), ("2.1 Methods", "methods"), ("Snow", None)], "t string, s string")
+    assert [r.l for r in h.select(S.plain_heading(F.col("t"), F.col("s")).alias("l")).collect()] == [1, 2, None]
