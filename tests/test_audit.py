@@ -133,13 +133,20 @@ def test_packaging(spark):
 
 
 def test_session_stream(spark, tmp_path):
-    rows = [("a", "2024-01-01 00:00:00", "start"), ("a", "2024-01-01 00:01:00", "stop"), ("a", "2024-01-01 00:02:00", "stop"), ("b", "2024-01-01 00:00:00", "stop")]
-    spark.createDataFrame(rows, "s string, at string, state string").selectExpr("s", "cast(at as timestamp) at", "state").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("s string, at timestamp, state string").parquet(str(tmp_path / "in"))
+    def deliver(n: int, rows: list[tuple[str, str, str]]) -> None:
+        spark.createDataFrame(rows, "s string, at string, state string").selectExpr("s", "cast(at as timestamp) at", "state").coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+
+    deliver(1, [("a", "2024-01-01 00:00:00", "start"), ("a", "2024-01-01 00:01:00", "stop"), ("a", "2024-01-01 00:02:00", "stop"), ("b", "2024-01-01 00:00:00", "stop")])
+    stream = spark.readStream.schema("s string, at timestamp, state string").parquet(str(tmp_path / "in" / "*"))
     q = session_states(stream, "s", "at", "state", {"": ("start",), "start": ("stop",), "stop": ("start",)}).writeStream.outputMode("update").format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
-    q.stop()
     assert {tuple(r) for r in spark.sql("select s, n_events, n_invalid, state from seen").collect()} == {("a", 3, 1, "stop"), ("b", 1, 1, "stop")}
+    deliver(2, [("c", "2024-01-02 00:00:00", "start")])  # a and b are over
+    q.processAllAvailable()
+    deliver(3, [("a", "2024-01-02 00:01:00", "start")])
+    q.processAllAvailable()
+    q.stop()
+    assert ("a", 1, 0, "start") in {tuple(r) for r in spark.sql("select s, n_events, n_invalid, state from seen").collect()}
 
 
 @pytest.mark.parametrize("name", ["audit_summary", "section_reorder", "reference_roundtrip", "review_queue", "visible_text"])
