@@ -35,6 +35,13 @@ SCIENTIFIC = {
 }
 
 
+#: What a text must contain, one of them, for a category's pattern to match at all: told by a plain search.
+HINTS = {
+    "percentage": ("%",), "confidence_interval": ("CI",), "accession": ("GSE", "SRR", "ERR", "DRR", "PRJNA", "NCT"), "doi": ("10.",), "url": ("://",), "citation": ("[", "("), "figure_reference": ("Fig",), "table_reference": ("Table",),
+    "reference_identifier": ("PMID", "ISBN", "arXiv"), "p_value": ("p",),
+}
+
+
 def _series(function):
     """An Arrow UDF that applies a function of one text to each of a batch."""
 
@@ -90,6 +97,18 @@ def tokens(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def science_tokens(c: Column, category: str) -> Column:
+    """All matches of a scientific category, in order; texts without a hint of it aren't searched."""
+    found = tokens(c, SCIENTIFIC[category])
+    hints = HINTS.get(category)
+    if hints is None:
+        return found
+    seen = F.contains(c, F.lit(hints[0]))
+    for h in hints[1:]:
+        seen = seen | F.contains(c, F.lit(h))
+    return F.when(seen, found).otherwise(F.when(c.isNotNull(), F.expr("cast(array() as array<string>)")))
+
+
 def changed_tokens(a: Column, b: Column) -> Column:
     """removed:x and added:x of the distinct tokens in which two arrays of tokens differ, sorted."""
     gone = F.transform(F.array_except(a, b), lambda x: F.concat(F.lit("removed:"), x))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioscope.functions import text as T
+from folioscope.session import spread
 
 
 def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,11 +39,11 @@ def scientific_diff(df: DataFrame, before: Column, after: Column, *keys: str) ->
 
     Patterns are matched only where the texts differ at all.
     """
-    rows = df.select(*keys, F.coalesce(before, F.lit("")).alias("_a"), F.coalesce(after, F.lit("")).alias("_b"))
+    rows = spread(df).select(*keys, F.coalesce(before, F.lit("")).alias("_a"), F.coalesce(after, F.lit("")).alias("_b"))
     # Tokens are columns of their own first, so that no pattern is matched twice.
     differ = F.col("_a") != F.col("_b")
     none = F.expr("cast(array() as array<string>)")
-    found = rows.select(*keys, *[F.when(differ, T.tokens(F.col(f"_{side}"), p)).otherwise(none).alias(f"{side}_{n}") for n, p in T.SCIENTIFIC.items() for side in "ab"])
+    found = rows.select(*keys, *[F.when(differ, T.science_tokens(F.col(f"_{side}"), n)).otherwise(none).alias(f"{side}_{n}") for n in T.SCIENTIFIC for side in "ab"])
     changed = found.select(*keys, *[T.changed_tokens(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(n) for n in T.SCIENTIFIC])
     safe = F.lit(True)
     for n in T.SCIENTIFIC:
