@@ -276,6 +276,23 @@ class Items:
         return out
 
 
+#: Rows and characters of documents that are taken at a time; a longer document is taken alone.
+AT_ONCE, AT_ONCE_CHARS = 1000, 2_000_000
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of at most AT_ONCE rows and, but for a single text, AT_ONCE_CHARS characters."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and (i - begin >= AT_ONCE or size + n > AT_ONCE_CHARS):
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def _counted(items) -> object:
     """(s, n): in how many documents of a task each shingle of the items is."""
 
@@ -283,8 +300,9 @@ def _counted(items) -> object:
         held = items.value
         n = np.zeros(held.count, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                text, shingle, _ = held.find([words_of(x) for x in batch.column(0).slice(at, 1000).to_pylist()])
+            texts = batch.column(0).to_pylist()
+            for lo, hi in _slices(texts):
+                text, shingle, _ = held.find([words_of(x) for x in texts[lo:hi]])
                 n += np.bincount(np.unique(text * held.count + shingle) % max(1, held.count), minlength=held.count)
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(n[seen], pa.int64())], names=["s", "n"])
@@ -295,9 +313,9 @@ def _counted(items) -> object:
 def _settled(items) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                ids = batch.column(0).slice(at, 1000).to_pylist()
-                rows = [(ids[t], item) for t, item in items.value.leaked([words_of(x) for x in batch.column(1).slice(at, 1000).to_pylist()])]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, hi in _slices(texts):
+                rows = [(ids[lo + t], item) for t, item in items.value.leaked([words_of(x) for x in texts[lo:hi]])]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64())], names=["doc_id", "item_id"])
 
     return run

@@ -138,6 +138,13 @@ def test_a_shingle_of_every_document_is_no_candidate():
     assert common == held.shingles[1][0] and held.prefix_of[common] == [] and held.leaked(texts) == [(50, 1)]
 
 
+def test_texts_are_taken_in_bounded_stretches():
+    sizes = [None, 5, leaks.AT_ONCE_CHARS + 1, 0, leaks.AT_ONCE_CHARS, 1] + [1] * 2500
+    parts = list(leaks._slices([None if n is None else "x" * n for n in sizes]))
+    assert [i for a, b in parts for i in range(a, b)] == list(range(len(sizes))) and list(leaks._slices([])) == []
+    assert all(b - a <= leaks.AT_ONCE and (b - a == 1 or sum(n or 0 for n in sizes[a:b]) <= leaks.AT_ONCE_CHARS) for a, b in parts)
+
+
 def test_automaton_knows_exactly_the_substrings():
     text = "abracadabra"
     moves = languages.suffix_automaton([ord(c) for c in text])
