@@ -69,6 +69,14 @@ def test_tokens_and_digest(spark):
     assert page == "A&B c"
 
 
+def test_hints_lose_no_token(spark):
+    texts = ["5 % of 12", "p = 0.03 and 95% CI 1.2-3.4", "in 2021-03 GSE123 NCT04", "10.1000/ABC at HTTPS://x.org/a", "[1, 2] (Doe et al., 2020)", "Fig. 2 Figure 3a Table 4 A = B", "PMID: 77 arXiv:2101.1 BRCA1 alpha", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name, pattern in T.SCIENTIFIC.items():
+        rows = df.select(T.tokens(F.col("t"), pattern).alias("a"), T.science_tokens(F.col("t"), name).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows] and any(r.a for r in rows), name
+
+
 def test_multisets_see_dropped_copies(spark):
     a, b = spark.createDataFrame([(1, "x"), (1, "x"), (1, None)], "k int, v string"), spark.createDataFrame([(1, "x"), (1, None)], "k int, v string")
     assert [tuple(r) for r in verify.multiset_difference(a, b, ["k"], "v").collect()] == [(1, "x", 2, 1)]
