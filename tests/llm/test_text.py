@@ -173,6 +173,45 @@ def test_costs_equal_a_plain_parse():
             assert model.costs([line], probe=5, margin=1e9)[0, k] == pytest.approx(n * model.bits[k])
 
 
+def test_lines_are_read_to_their_end_in_every_language():
+    x, y = "the cat sat on the mat and saw the dog run home to the old red barn by the sea ", "le chat est sur le tapis et voit courir un chien vers la vieille grange rouge au bord de mer "
+    model = languages.Model.fit({"x": [f" {x}"], "y": [f" {y}"]})
+    line = x + y + y[:-1]  # x leads by far at first
+    assert len(line) > languages.PIECE and model.costs([f" {x}"])[0, 1] > 64 + model.costs([f" {x}"])[0, 0]
+    assert [r[:2] for r in languages.parts_of(model, [line])[0]] == [(0, "y")]
+    assert np.array_equal(model.costs([line]), model.costs([line], probe=languages.PIECE, margin=1e9))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcde", min_size=1, max_size=60), min_size=1, max_size=4), st.text("abcdef", min_size=1, max_size=90))
+def test_packed_moves_are_those_of_the_automata(samples, line):
+    model = languages.Model.fit({str(k): [x] for k, x in enumerate(samples)})
+    for k, x in enumerate(samples):
+        n = at = 0
+        while at < len(line):
+            end = at + 1
+            while end < len(line) and line[at : end + 1] in x:
+                end += 1
+            n, at = n + 1, end
+        assert model.costs([line])[0, k] == pytest.approx(n * model.bits[k])
+
+
+def test_samples_are_of_whole_texts(spark):
+    def lines(seed: int, letters: str, n: int) -> list[str]:
+        draw = random.Random(seed)
+        return [" ".join("".join(draw.choices(letters, k=5)) for _ in range(8)) for _ in range(n)]
+
+    short, long = lines(1, "abcdefghij", 150), lines(2, "klmnopqrst", 2000)
+    one_line = " ".join(lines(3, "uvwxyzäöüß", 150))
+    docs = spark.createDataFrame([(1, "\n".join(short), "en"), (2, "\n".join(long), "de"), (3, one_line, "fr")], "doc_id long, text string, lang string")
+    model = languages.fit(docs, "doc_id", "text", "lang")
+    known = {k: (lambda part, k=k: np.isclose(model.costs([f" {x} " for x in part])[:, model.names.index(k)], model.bits[model.names.index(k)])) for k in model.names}
+    assert len("\n".join(short)) > 4000 and known["en"](short).all()  # all of it fits
+    assert all(0.1 < known["de"](long[a : a + 500]).mean() < 0.5 for a in range(0, 2000, 500))  # a sample of each part
+    words = one_line.split()
+    assert np.mean([model.costs([w])[0, model.names.index("fr")] <= 2 * model.bits[model.names.index("fr")] for w in words[-200:]]) > 0.99
+
+
 def test_language_accuracy_on_held_out_documents(spark, folder):
     docs = spark.read.parquet(folder.replace("sf0.001", "sf0.01") + "/documents.parquet")
     train, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
